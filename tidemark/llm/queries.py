@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.abuse import fit_abuse_network, score_texts
 from tidemark.llm.dedup import ArticleStore
+from tidemark.llm.leaks import leaked_items
+from tidemark.llm.mixing import mix_sources, source_key, token_counts
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.session import shared_dir, table
 
 
+TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
+# Pre-token pattern of the byte-level vocabulary (a fixed value that belongs to its ranks).
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Scores of clean and abusive windows part here (README, problem 10).
+ABUSE_SCORE = 0.98
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -34,7 +45,45 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text")
+    return found.select("doc_id", "item_id")
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets").withColumn("source", source_key(F.col("source")))
+    docs = table(spark, d, "documents").withColumn("source", source_key(F.col("source")))
+    docs = docs.join(F.broadcast(targets.select("source")), "source", "left_semi")  # one row per target source
+    sized = token_counts(docs, id="doc_id", text="text", keep=[F.col("source")], tokenizer_path=f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern=BYTE_PATTERN)
+    return mix_sources(sized, targets, id="doc_id")
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
+def _abuse_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    net = fit_abuse_network(table(spark, d, "rated_texts"), docs, text="text", rating="rating", doc_text="text", doc_id="doc_id")
+    return score_texts(docs, net, id="doc_id", text="text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse_scores(spark, d).where(F.col("abuse_score") >= ABUSE_SCORE).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "documents").select("doc_id", source_key(F.col("source")).alias("source"))
+    flagged = (F.col("abuse_score") >= ABUSE_SCORE).cast("int")
+    per = _abuse_scores(spark, d).join(sources, "doc_id").groupBy("source")
+    return per.agg(F.count(F.lit(1)).alias("documents"), F.sum(flagged).alias("flagged"), F.round(F.avg(flagged), 6).alias("rate"))
+
+
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
 
 ORACLE = {
     "p7_found": """

@@ -135,3 +135,32 @@ def lists(row: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType = pa.in
     """Values with ascending row numbers as a list column of ``n`` rows."""
     offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64) if values.dtype == np.uint64 else values, kind))
+
+
+def lists_of(values: pa.Array, first: np.ndarray) -> pa.ListArray:
+    """Arrow values as a list column, given where each row's begin (n_rows + 1 places)."""
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), values)
+
+
+def split_joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and rows of words parted by white space only, read by their letters and digits alone,
+    and the first word of each row (n_rows + 1 places); for a column already made :func:`plain`."""
+    n = len(column)
+    column = pa.concat_arrays([column]) if column.offset else column
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[: n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    kind = _CLASS[data]
+    at = np.flatnonzero((kind == 1) | (kind == 2))
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+    gap = np.cumsum(data <= 32, dtype=np.int32)[at]
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))[at]
+    head = np.flatnonzero(np.concatenate([[True], (gap[1:] != gap[:-1]) | (row[1:] != row[:-1])]))
+    place = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+    with np.errstate(over="ignore"):
+        value = (data[at].astype(np.uint64) + np.uint64(1)) * _POW[np.minimum(place, 127)]
+        hashed = mix(np.add.reduceat(value, head) * _P)
+    rows = row[head].astype(np.int64)
+    return hashed, rows, np.searchsorted(rows, np.arange(n + 1))
