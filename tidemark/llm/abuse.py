@@ -389,7 +389,9 @@ def fit_abuse_network(rated: DataFrame, documents: DataFrame, *, text: str, rati
     not matter beside the thousands of clean ones.
     """
     rows = rated.where(f"{text} is not null and {rating} is not null").select(text, rating).orderBy(F.xxhash64(text), text).limit(rated_limit).collect()
-    sample = documents.where(F.col(doc_text).isNotNull()).select(doc_text, F.xxhash64(doc_id).alias("h")).orderBy("h").limit(background).collect()
+    # Ids first: tasks then send the driver numbers only, not texts.
+    ids = [x[0] for x in documents.select(doc_id).where(F.col(doc_id).isNotNull()).orderBy(F.xxhash64(doc_id), doc_id).limit(background).collect()]
+    sample = documents.where(F.col(doc_id).isin(ids) & F.col(doc_text).isNotNull()).select(doc_text).orderBy(F.xxhash64(doc_id)).limit(2 * background).collect() if ids else []
     return train([(a, b != "none") for a, b in rows], [x[0] for x in sample])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.abuse import fit_abuse_network, score_texts
 from tidemark.llm.dedup import ArticleStore
 from tidemark.llm.leaks import leaked_items
+from tidemark.llm.mapping import map_names
 from tidemark.llm.mixing import mix_sources, source_key, token_counts
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.session import shared_dir, table
@@ -37,6 +38,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return stock.union(later).select(F.col("first").alias("news_id_a"), F.col("id").alias("news_id_b"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    aliases, news = table(spark, d, "aliases"), table(spark, d, "news_raw")
+    typed = aliases.where("ticker is null").select(F.col("alias_id").alias("id"), F.col("alias").alias("text"), F.lit(True).alias("whole"))
+    titles = news.where("ticker is null and title is not null and title <> ''").select(F.col("news_id").alias("id"), F.col("title").alias("text"), F.lit(False).alias("whole"))
+    mapped = map_names(typed.union(titles), table(spark, d, "universe"), aliases)
+    return mapped.select(F.when(F.col("whole"), F.lit("alias")).otherwise(F.lit("title")).alias("rec_kind"), F.col("id").alias("rec_id"), "ticker")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     news = table(spark, d, "news_raw").select("news_id", "ticker", "published_at")
     prices = table(spark, d, "prices_daily").where("close is not null").select("price_id", "ticker", (F.col("date").cast("timestamp") + F.expr("interval 21 hours")).alias("at"))
@@ -83,7 +92,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("documents"), F.sum(flagged).alias("flagged"), F.round(F.avg(flagged), 6).alias("rate"))
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
 
 ORACLE = {
     "p7_found": """
