@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,9 +26,23 @@ def local_session(name: str = "tidemark", cpus: int | str = "*", partitions: int
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python stages run wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        root = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="tidemark-code-"))
+        sc.addPyFile(shutil.make_archive(str(base / "tidemark_code"), "zip", root.parent, root.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one parquet table; all time arithmetic of the queries is in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
