@@ -14,6 +14,7 @@ from tidemark.llm.leaks import leaked_items
 from tidemark.llm.mapping import map_names
 from tidemark.llm.mixing import mix_sources, source_key, token_counts
 from tidemark.llm.nearest import nearest_in_time
+from tidemark.llm.overlaps import cross_split_overlaps
 from tidemark.session import shared_dir, table
 
 
@@ -38,6 +39,33 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return stock.union(later).select(F.col("first").alias("news_id_a"), F.col("id").alias("news_id_b"))
 
 
+def _split(c):
+    """Split by UTC time of publication; null belongs to none."""
+    return F.when(c < F.lit("2025-08-01").cast("timestamp"), "train").when(c < F.lit("2025-10-01").cast("timestamp"), "validation").when(c.isNotNull(), "test")
+
+
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Records of the splits with their class, training and evaluation records apart."""
+    news = table(spark, d, "news_raw").select("news_id", "title", "body_snippet", "source_domain", _split(F.col("published_at")).alias("split"))
+    classes = cross_split_overlaps(news, id="news_id", split="split", train="train", title="title", body="body_snippet")
+    placed = news.select("news_id", "source_domain", "split").where("split is not null").join(classes.select(F.col("id").alias("news_id"), "first"), "news_id")
+    return placed.where("split = 'train'"), placed.where("split <> 'train'")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _overlaps(spark, d)
+    pairs = a.select(F.col("news_id").alias("a"), "first").join(b.select(F.col("news_id").alias("b"), "first"), "first")
+    return pairs.select(F.least("a", "b").alias("news_id_a"), F.greatest("a", "b").alias("news_id_b"))
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation records, and those with a like in training, per split and source."""
+    a, b = _overlaps(spark, d)
+    hit = b.join(a.select("first").distinct(), "first", "left_semi").groupBy("split", "source_domain").agg(F.count(F.lit(1)).alias("leaked"))
+    news = table(spark, d, "news_raw").select("source_domain", _split(F.col("published_at")).alias("split")).where("split is not null and split <> 'train'")
+    return news.groupBy("split", "source_domain").agg(F.count(F.lit(1)).alias("records")).join(hit, ["split", "source_domain"], "left").fillna(0, ["leaked"])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     aliases, news = table(spark, d, "aliases"), table(spark, d, "news_raw")
     typed = aliases.where("ticker is null").select(F.col("alias_id").alias("id"), F.col("alias").alias("text"), F.lit(True).alias("whole"))
@@ -92,7 +120,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("documents"), F.sum(flagged).alias("flagged"), F.round(F.avg(flagged), 6).alias("rate"))
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
 
 ORACLE = {
     "p7_found": """
