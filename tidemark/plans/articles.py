@@ -278,14 +278,14 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH src AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), {_TFIDF}, q AS (SELECT item_id, term, 1.0 / sqrt(count(*) OVER (PARTITION BY item_id)) AS wq FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS term FROM eval_items WHERE item_id <= 20) WHERE term NOT IN ({_STOP})),
+    f"""WITH src AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL), {_TFIDF}, q AS (SELECT item_id, term, 1.0 / sqrt(count(*) OVER (PARTITION BY item_id)) AS wq FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS term FROM eval_items) WHERE term NOT IN ({_STOP})),
 s AS (SELECT item_id, id, sum(w * wq) AS score FROM tfidf JOIN q USING (term) GROUP BY ALL)
 SELECT item_id, id AS doc_id, CAST(rank AS INT) AS rank, {sql_r('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 5"""
 )
 def retrieve_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """Five nearest documents of each of twenty question texts (a top-k report)."""
+    """Five nearest documents of each evaluation text (a top-k report)."""
     w = T.tf_idf(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
-    q = table(spark, d, "eval_items").where("item_id <= 20").select("item_id", F.explode(F.array_distinct(F.filter(T.tokens(F.col("text"), r"([a-z]{2,})"), lambda x: ~x.isin(*T.STOP_WORDS)))).alias("term"))
+    q = table(spark, d, "eval_items").select("item_id", F.explode(F.array_distinct(F.filter(T.tokens(F.col("text"), r"([a-z]{2,})"), lambda x: ~x.isin(*T.STOP_WORDS)))).alias("term"))
     q = q.withColumn("w", 1 / F.sqrt(F.count(F.lit(1)).over(Window.partitionBy("item_id"))))
     return T.retrieve(w, q, "doc_id", "item_id", 5).select("item_id", "doc_id", "rank", r("score").alias("score"))
 
