@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.session import cut
+from tidemark.session import cut, written
 
 # Endings of company names that tell nothing about which company is meant (fixed values).
 LEGAL_FORMS = ("ag", "sa", "plc", "ltd", "inc", "corp", "group", "holdings", "co", "grp", "intl", "company", "companies", "the", "llc", "gmbh", "se", "nv", "limited", "incorporated", "corporation")
@@ -98,9 +98,9 @@ def map_names(records: DataFrame, companies: DataFrame, listed: DataFrame, *, li
     records are each mapped, provided ids are unique per ``whole``; empty lists map everything to ``NONE``.
     """
     records = cut(records.select(F.xxhash64("id", "whole").alias("rid"), "id", "whole", "text"))
-    words = cut(word_lists(records, "rid", "text").withColumnRenamed("id", "rid"))
+    words = written(word_lists(records, "rid", "text").withColumnRenamed("id", "rid"))
     firms = companies.where("ticker is not null and company is not null").select("ticker", F.col("company").alias("text"))
-    firms = cut(word_lists(firms, "ticker", "text").select(F.col("id").alias("ticker"), F.filter("words", lambda x: ~x.isin(*LEGAL_FORMS)).alias("w")).where("size(w) >= 2"))
+    firms = written(word_lists(firms, "ticker", "text").select(F.col("id").alias("ticker"), F.filter("words", lambda x: ~x.isin(*LEGAL_FORMS)).alias("w")).where("size(w) >= 2"))
     firms = firms.select("ticker", F.col("w")[0].alias("w1"), F.col("w")[1].alias("w2"), F.get("w", F.lit(2)).alias("sector"))
 
     # 1. A listed alias or company name that is the whole text, or a ticker symbol.

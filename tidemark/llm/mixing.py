@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, written
 
 _ENCODERS: dict[str, object] = {}
 
@@ -81,7 +81,7 @@ def mix_sources(
     repeats count as 0.  Source names must be unique in ``targets``.  Repeated ids are drawn
     together.  Empty documents give an empty mixture and a report of gaps.
     """
-    docs = cut(sized.where((F.col(tokens) > 0) & F.col(source).isNotNull()).select(F.col(id).alias("__id"), F.col(source).alias("s"), F.col(tokens).cast("bigint").alias("n")))
+    docs = written(sized.where((F.col(tokens) > 0) & F.col(source).isNotNull()).select(F.col(id).alias("__id"), F.col(source).alias("s"), F.col(tokens).cast("bigint").alias("n")))
     goals = targets.where(F.col(source).isNotNull()).select(F.col(source).alias("s"), F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(0.0)).cast("double").alias("w"), F.greatest(F.coalesce(max_repeats, F.lit(0)), F.lit(0)).cast("bigint").alias("cap"))
     goals = goals.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(1))))
     slices = max(1, -(-docs.count() // slice_rows)) * 4
