@@ -308,13 +308,14 @@ def quarter_windows(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.explode(T.quarter_windows("2025-02-10", "2025-11-20")).alias("q")).select(day("q.lo").alias("lo"), day("q.hi").alias("hi"))
 
 
-@query(
-    f"""WITH {DAYMAP_SQL}, {NEWS_SQL}, l AS (SELECT news_id, ticker, proba, published_at AT TIME ZONE 'America/New_York' AS local FROM news),
+_PNL = f"""WITH {DAYMAP_SQL}, {NEWS_SQL}, l AS (SELECT news_id, ticker, proba, published_at AT TIME ZONE 'America/New_York' AS local FROM news),
 t AS (SELECT l.ticker, CASE WHEN hour(l.local) * 60 + minute(l.local) < 570 THEN m.before ELSE m.at_or_before END AS t0, proba FROM l JOIN daymap m ON m.ticker = l.ticker AND m.day = CAST(l.local AS DATE)),
 g AS (SELECT ticker, t0, max(proba) AS strength FROM t WHERE t0 IS NOT NULL GROUP BY ALL), sig AS (SELECT *, lag(strength, 1, 0.0) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM (
  SELECT p.ticker, p.date, p.close, lead(p.close) OVER w / p.close - 1 AS nxt, CASE WHEN last_value(g.strength IGNORE NULLS) OVER w >= 0.9 THEN 1.0 ELSE 0.0 END AS strength FROM panel p LEFT JOIN g ON g.ticker = p.ticker AND g.t0 = p.date WINDOW w AS (PARTITION BY p.ticker ORDER BY p.date))),
-pnl AS (SELECT date, avg(strength * nxt - abs(strength - prev) / 2 * 0.0005) AS pnl FROM sig WHERE nxt IS NOT NULL GROUP BY date)
-SELECT {sql_day('date')} AS day, {sql_r('pnl')} AS pnl FROM pnl"""
+pnl AS (SELECT date, avg(strength * nxt - abs(strength - prev) / 2 * 0.0005) AS pnl FROM sig WHERE nxt IS NOT NULL GROUP BY date)"""
+
+
+@query(f"{_PNL} SELECT {sql_day('date')} AS day, {sql_r('pnl')} AS pnl FROM pnl"
 )
 def daily_pnl(spark: SparkSession, d: str) -> DataFrame:
     """Daily mean profit of holding what the latest strong signal says, less five basis points of turnover."""
@@ -331,7 +332,10 @@ def _pnl(spark: SparkSession, d: str) -> DataFrame:
     return x.where("nxt is not null").groupBy("date").agg(F.avg(F.col("strength") * F.col("nxt") - F.abs(F.col("strength") - F.col("prev")) / 2 * 0.0005).alias("pnl"))
 
 
-@query()
+@query(
+    f"""{_PNL}, eq AS (SELECT date, pnl, product(1 + pnl) OVER (ORDER BY date) AS equity FROM pnl), pk AS (SELECT *, max(equity) OVER (ORDER BY date) AS peak FROM eq)
+SELECT {sql_r('max_by(equity, date) - 1')} AS total_return, {sql_r('avg(pnl) / stddev_samp(pnl) * sqrt(252)', 4)} AS sharpe, {sql_r('max(peak - equity) / max(peak)')} AS max_drawdown FROM pk"""
+)
 def strategy_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Total return, yearly Sharpe ratio and largest drawdown (from the highest equity reached) of the daily series."""
     line = Window.orderBy("date")  # one row per trading date

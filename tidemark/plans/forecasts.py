@@ -11,7 +11,7 @@ from tidemark.operators import models as M
 from tidemark.operators import series as S
 from tidemark.operators.calendars import plus_trading_days, session_t0, union_calendar
 from tidemark.operators.splits import SplitConfig, walk_forward
-from tidemark.plans.articles import _labelled
+from tidemark.plans.articles import _LABEL, _labelled
 from tidemark.plans.common import DAYMAP_SQL, MARKET_SQL, NEWS_SQL, RETURNS_SQL, day, news, panel, r, returns, sql_day, sql_r
 from tidemark.session import cut, shared_dir, table
 from tidemark.streaming.poll import article_stream, poll
@@ -103,7 +103,11 @@ def logreg_balanced(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *[r(F.avg(c), 4).alias(c) for c in ("proba", "platt", "isotonic")])
 
 
-@query()
+@query(
+    f"""WITH {NEWS_SQL}, {_LABEL}, x AS (SELECT pub_date, CAST(proba AS DOUBLE) AS p, y FROM labelled), cal AS (SELECT CASE WHEN y = 1 THEN 1 - p ELSE p END AS s FROM x WHERE pub_date < DATE '2025-10-01'),
+k AS (SELECT least(ceil((count(*) + 1) * 0.9), count(*)) AS k FROM cal), q AS (SELECT s AS q FROM (SELECT s, row_number() OVER (ORDER BY s) AS rn FROM cal), k WHERE rn = k)
+SELECT CAST(1 - p <= q AS INT) + CAST(p <= q AS INT) AS set_size, count(*) AS n, {sql_r('avg(CAST(CASE WHEN y = 1 THEN 1 - p <= q ELSE p <= q END AS INT))', 4)} AS coverage FROM x, q WHERE pub_date >= DATE '2025-10-01' GROUP BY 1"""
+)
 def conformal_sets(spark: SparkSession, d: str) -> DataFrame:
     """Split-conformal label sets at 90 per cent: sizes and coverage after the calibration months."""
     x = _labelled(spark, d).select("pub_date", F.col("proba").cast("double").alias("p"), "y")
@@ -187,7 +191,11 @@ def why_moved(spark: SparkSession, d: str) -> DataFrame:
     return x.join(hit.drop("date"), "ticker", "left").select("ticker", day("date").alias("day"), r("ret").alias("ret"), r("z", 4).alias("z"), "news_id", F.coalesce("rank", F.lit(1)).alias("rank"))
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings),
+s AS (SELECT a.vec_id, max(list_cosine_similarity(a.v, b.v)) AS top FROM e a JOIN e b ON a.label = b.label AND b.pos < a.pos AND b.pos >= a.pos - 100 GROUP BY 1)
+SELECT e.vec_id, {sql_r('coalesce(1 - s.top, 1.0)', 5)} AS novelty FROM e LEFT JOIN s USING (vec_id)"""
+)
 def embedding_novelty(spark: SparkSession, d: str) -> DataFrame:
     """Novelty of each vector: one less its highest cosine to the 100 earlier ones of its label, 1 where there is none."""
     e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
