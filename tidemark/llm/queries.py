@@ -90,7 +90,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets").withColumn("source", source_key(F.col("source")))
     docs = table(spark, d, "documents").withColumn("source", source_key(F.col("source")))
-    docs = docs.join(F.broadcast(targets.select("source")), "source", "left_semi")  # one row per target source
+    docs = docs.join(targets.select("source"), "source", "left_semi")
     sized = token_counts(docs, id="doc_id", text="text", keep=[F.col("source")], tokenizer_path=f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern=BYTE_PATTERN)
     return mix_sources(sized, targets, id="doc_id")
 
