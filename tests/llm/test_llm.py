@@ -133,6 +133,17 @@ def test_deliveries_one_by_one_or_at_once(spark, tmp_path):
     assert ingest(spark, tmp_path / "c", [], [(0, 99)]) == {}
 
 
+def test_truncated_copy_without_figures(spark, tmp_path):
+    start = "Talks between the lenders and the board of the Galbel works went on after the summer break without any result."
+    rows = [
+        (1, "https://a.example/1", "Lenders meet", start + " Revenue came to $617.1 million against 593.2 before.", "X", 1),
+        (2, "https://b.example/2", "No result yet", start, "X", 1),  # its figures are cut off
+        (4, "https://d.example/4", "Other talks", "Talks between the owners and a union of the Pelmel yard were put off until spring.", "X", 1),
+    ]
+    assert ingest(spark, tmp_path / "a", rows, [(1, 9)]) == {2: 1}
+    assert ingest(spark, tmp_path / "b", rows, [(1, 1), (2, 9)]) == {2: 1}
+
+
 # Problem 5
 
 
