@@ -26,8 +26,8 @@ from tidemark.session import cut, written
 @dataclass(frozen=True)
 class CosineLimits:
     """cosine: least similarity; figures: least share of the smaller text's figures in both; power of the
-    inverse document frequency; lone: least similarity where the smaller text has one figure or none; buckets of the frequency table; largest list compared pair by pair
-    (in a longer one, which copies of one text make, all are compared with its first records)."""
+    inverse document frequency; lone: least similarity where the smaller text has one figure or none; buckets of the frequency table; pairs of a list
+    compared in one block (a longer list is parted into blocks, and all of its pairs are compared)."""
 
     cosine: float = 0.35
     figures: float = 0.6
@@ -120,14 +120,13 @@ def cosine_candidates(records: DataFrame, weights, limits: CosineLimits) -> Data
     # Written, as both the counts and the join read it: one pass over the texts.
     posted = written(records.mapInArrow(run, "term bigint, id bigint, train boolean, left float"))
     n = lambda c: F.sum(c.cast("bigint"))
-    lists = posted.groupBy("term").agg(n(F.col("train")).alias("nt"), n(~F.col("train")).alias("ne"), F.min(F.when(F.col("train"), F.col("id"))).alias("t0"), F.min(F.when(~F.col("train"), F.col("id"))).alias("e0"))
+    lists = posted.groupBy("term").agg(n(F.col("train")).alias("nt"), n(~F.col("train")).alias("ne"))
     both = cut(posted.join(lists.where("nt > 0 and ne > 0"), "term"))
-    few = both.where(F.col("nt") * F.col("ne") <= limits.pairs)
-    one = few.where("train").select("term", F.col("id").alias("a"), F.col("left").alias("la"))
-    two = few.where("not train").select("term", F.col("id").alias("b"), F.col("left").alias("lb"))
-    pairs = one.join(two, "term").where(F.col("la") * F.col("lb") >= threshold).select("a", "b")
-    many = both.where(F.col("nt") * F.col("ne") > limits.pairs).select(F.when(F.col("train"), F.col("id")).otherwise(F.col("t0")).alias("a"), F.when(F.col("train"), F.col("e0")).otherwise(F.col("id")).alias("b"))
-    return pairs.union(many).distinct()
+    # The training side of a long list is dealt into blocks, the other side goes to each: no key has more than about ``limits.pairs`` pairs.
+    both = both.withColumn("blocks", F.greatest(F.lit(1), F.least(F.col("nt"), F.ceil(F.col("nt") * F.col("ne") / limits.pairs))).cast("int"))
+    one = both.where("train").select("term", F.pmod(F.hash("id"), F.col("blocks")).alias("block"), F.col("id").alias("a"), F.col("left").alias("la"))
+    two = both.where("not train").select("term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("left").alias("lb"))
+    return one.join(two, ["term", "block"]).where(F.col("la") * F.col("lb") >= threshold).select("a", "b").distinct()
 
 
 def _judge(weights, limits: CosineLimits):
