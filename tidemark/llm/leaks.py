@@ -9,7 +9,7 @@ does not part them), and the item's words so covered decide.
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +26,7 @@ from tidemark.llm import words as W
 class LeakLimits:
     """share: least part of an item's words in the passage; least: shortest match in words that counts;
     gap: most words between matches of one piece; pieces: parts a passage may be in;
-    stock: a sequence of this many words standing in ``stock_items`` items or more is a stock phrase;
+    stock: a sequence of this many words standing in ``stock_items`` clearly different items or more is a stock phrase;
     own: least part of a piece's words that lies outside stock phrases;
     shard_words: items are streamed in shards of at most so many words, which bounds the automaton."""
 
@@ -137,7 +137,7 @@ class SuffixAutomaton:
 class LeakFinder:
     """The automaton of one shard of items with what is needed to judge matches."""
 
-    def __init__(self, items: list[tuple[int, list[int]]], limits: LeakLimits):
+    def __init__(self, items: list[tuple[list[int], list[int]]], limits: LeakLimits):
         self.limits = limits
         self.ids = [i for i, _ in items]
         self.sizes = [len(s) for _, s in items]
@@ -148,19 +148,25 @@ class LeakFinder:
         self.known, self.codes = known, np.array([vocabulary[int(w)] for w in known], np.int64)
         self.item_of = np.repeat(np.arange(len(items)), self.sizes)
         a = self.automaton
-        owner = self.item_of[np.array(a.order, np.int64)] if a.order else np.zeros(0, np.int64)
-        #: The one item a state's sequences stand in, else -1; and, filled as needed, the places of each state by item.
-        self.sole = [int(owner[x]) if y > x and owner[x] == owner[y - 1] and (y - x == 1 or (owner[x:y] == owner[x]).all()) else -1 for x, y in zip(a.lo, a.hi)]
-        self.places: dict[int, dict[int, list[int]]] = {}
         grams = defaultdict(set)
         for k, s in enumerate(coded):
             for i in range(len(s) - limits.stock + 1):
                 grams[tuple(s[i : i + limits.stock])].add(k)
+        self.family = _families(grams, len(items))
+        # A match in one item of a family hides shorter ones in its likes: each of several likes is streamed through alone.
+        members = Counter(self.family)
+        self.likes = {k: coded[k] for k, f in enumerate(self.family) if members[f] > 1}
+        self.alone: dict[int, SuffixAutomaton] = {}
+        owner = np.array(self.family, np.int64)[self.item_of[np.array(a.order, np.int64)]] if a.order else np.zeros(0, np.int64)
+        #: The one family of items a state's sequences stand in, else -1; and, filled as needed, the places of each state by item.
+        self.sole = [int(owner[x]) if y > x and owner[x] == owner[y - 1] and (y - x == 1 or (owner[x:y] == owner[x]).all()) else -1 for x, y in zip(a.lo, a.hi)]
+        self.places: dict[int, dict[int, list[int]]] = {}
+        stock = {g for g, ks in grams.items() if len({self.family[k] for k in ks}) >= limits.stock_items}
         self.stock = []
         for s in coded:
             marks = np.zeros(len(s), bool)
             for i in range(len(s) - limits.stock + 1):
-                if len(grams[tuple(s[i : i + limits.stock])]) >= limits.stock_items:
+                if tuple(s[i : i + limits.stock]) in stock:
                     marks[i : i + limits.stock] = True
             self.stock.append(marks)
         # Sequences of ``least`` words that are not stock alone: every passage that counts holds one of them,
@@ -198,23 +204,25 @@ class LeakFinder:
         hit = inside & (self.grams[spot] == key) if len(self.grams) else np.zeros(len(key), bool)
         enough = np.flatnonzero(np.bincount(row[: len(key)][hit], minlength=len(column)))
         for r in enough.tolist():
-            found = self.judge(self.automaton.matches(codes[first[r] : first[r + 1]].tolist(), self.limits.least))
+            found = self.judge(codes[first[r] : first[r + 1]].tolist())
             for k, share in found.items():
-                rows.append(r)
-                items.append(self.ids[k])
-                shares.append(share)
+                for i in self.ids[k]:
+                    rows.append(r)
+                    items.append(i)
+                    shares.append(share)
         return rows, items, shares
 
-    def judge(self, matches: list[tuple[int, int, int]]) -> dict[int, float]:
+    def judge(self, seq: list[int]) -> dict[int, float]:
         """Items of which the matches of one document cover enough, with the share covered."""
         a, lim = self.automaton, self.limits
-        # A word outside stock phrases stands in matches of one item only: items without enough of those can't reach
+        matches = a.matches(seq, lim.least)
+        # A word outside stock phrases stands in matches of one family of items only: items without enough of those can't reach
         # the limits, and the many items that share a stock phrase are looked at for the others' sake no more.
         alone: dict[int, int] = defaultdict(int)
         for _, n, s in matches:
             if (k := self.sole[s]) >= 0:
                 alone[k] += n
-        wanted = [k for k, n in alone.items() if n >= lim.own * lim.share * self.sizes[k]]
+        wanted = [k for k, f in enumerate(self.family) if alone.get(f, -1) >= lim.own * lim.share * self.sizes[k]] if alone else []
         if not wanted:
             return {}
         by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -226,8 +234,15 @@ class LeakFinder:
                     places[int(self.item_of[e])].append(e - a.starts[int(self.item_of[e])])
                 self.places[s] = places
             for k in wanted:
-                for e in places.get(k, ()):
-                    by_item[k].append((end - n + 1, e - n + 1, n))
+                if k not in self.likes:
+                    for e in places.get(k, ()):
+                        by_item[k].append((end - n + 1, e - n + 1, n))
+        for k in wanted:
+            if k in self.likes:
+                if k not in self.alone:
+                    self.alone[k] = SuffixAutomaton([self.likes[k]])
+                one = self.alone[k]
+                by_item[k] = [(end - n + 1, e - n + 1, n) for end, n, s in one.matches(seq, lim.least) for e in one.order[one.lo[s] : one.hi[s]]]
         out = {}
         for k, found in by_item.items():
             need = lim.share * self.sizes[k]
@@ -261,26 +276,52 @@ class LeakFinder:
         return out
 
 
+def _families(grams: dict[tuple, set[int]], n: int) -> list[int]:
+    """Family of each of ``n`` items: those sharing more than half of the larger one's sequences are one."""
+    own: list[list[tuple]] = [[] for _ in range(n)]
+    for g, ks in grams.items():
+        for k in ks:
+            own[k].append(g)
+    sets = [set(x) for x in own]
+    parent = list(range(n))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for k in range(n):
+        # Who shares more than half of these sequences shares one of the rarer half.
+        own[k].sort(key=lambda g: len(grams[g]))
+        for j in {j for g in own[k][: len(own[k]) // 2 + 1] for j in grams[g]}:
+            if root(j) != root(k) and 2 * len(sets[j] & sets[k]) > max(len(sets[j]), len(sets[k])):
+                parent[max(root(j), root(k))] = min(root(j), root(k))
+    return [root(k) for k in range(n)]
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str, doc_text: str, item_id: str, item_text: str, limits: LeakLimits = LeakLimits()) -> DataFrame:
     """Rows (``doc_id``, ``item_id``, ``share``): documents holding a passage of an evaluation item.
 
     ``share`` is the part of the item's words in the passage.  Items are collected (evaluation sets
     are small) in shards of at most ``limits.shard_words`` words, each sent out as a broadcast of bounded size;
     the documents are streamed once through each shard, to their ends, and never shuffled.  Null or empty texts on
-    either side match nothing; items under ``limits.least`` words never match; repeated documents are each reported, repeated
+    either side match nothing; items of one word sequence are looked for once and all reported; items under ``limits.least`` words never match; repeated documents are each reported, repeated
     item ids once per document.  Empty tables give an empty result.
     """
     spark = documents.sparkSession
     rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), F.col(item_text).cast("string")).orderBy(item_id).collect()
     hashes, row, first = W.split_joined(W.plain(pc.replace_substring_regex(pa.array([r[1] for r in rows], pa.string()), r"<[^<>]{1,60}>", " ")))
+    same: dict[tuple, list[int]] = {}
+    for k, r in enumerate(rows):
+        same.setdefault(tuple(hashes[first[k] : first[k + 1]].tolist()), []).append(r[0])
     shards: list[list] = [[]]
     size = 0
-    for k, r in enumerate(rows):
-        seq = hashes[first[k] : first[k + 1]].tolist()
+    for words, ids in same.items():
+        seq = list(words)
         if size and size + len(seq) > limits.shard_words:
             shards.append([])
             size = 0
-        shards[-1].append((r[0], seq))
+        shards[-1].append((list(dict.fromkeys(ids)), seq))
         size += len(seq)
     held = spark.sparkContext.broadcast((uuid.uuid4().hex, shards))
     kind = documents.schema[doc_id].dataType.simpleString()
@@ -294,10 +335,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str, doc_tex
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
+                best: dict[tuple[int, int], float] = {}
                 for finder in finders:
-                    r, k, share = finder.find(part["text"])
-                    if r:
-                        yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(r)), pa.array(k, pa.int64()), pa.array(share, pa.float64())], names=[doc_id, item_id, "share"])
+                    for r, k, share in zip(*finder.find(part["text"])):
+                        best[r, k] = max(share, best.get((r, k), 0.0))
+                if best:
+                    r, k = zip(*best)
+                    yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(r)), pa.array(k, pa.int64()), pa.array(list(best.values()), pa.float64())], names=[doc_id, item_id, "share"])
 
     return documents.select(F.col(doc_id).alias("id"), F.col(doc_text).cast("string").alias("text")).mapInArrow(run, f"{doc_id} {kind}, {item_id} bigint, share double")
 
