@@ -254,7 +254,8 @@ def test_leaks(spark):
     i = spark.createDataFrame(items, "item_id long, text string")
     found = lambda lim: sorted((x.doc_id, x.item_id) for x in L.leaked_items(d, i, doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text", limits=lim).collect())
     assert found(L.LeakLimits()) == [(1, 0), (2, 1), (3, 2), (8, 4), (8, 4)]
-    assert found(L.LeakLimits(shard_words=80, stock_items=1_000)) == found(L.LeakLimits(shard_words=80, stock_items=1_000)) != []
+    # In shards of one item the notice is no more told from the items' own words: they still all come out.
+    assert set(found(L.LeakLimits())) <= set(found(L.LeakLimits(shard_words=80)))
     assert L.leaked_items(d.limit(0), i, doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text").count() == 0
     assert L.leaked_items(d, i.limit(0), doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text").count() == 0
 
@@ -262,6 +263,21 @@ def test_leaks(spark):
 # Problem 9
 
 
+def test_leaks_of_items_with_much_common_wording(spark):
+    """Items made of sentences that stand in other items too, but for a figure each: whole copies come out, lone sentences don't."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    frames = [[word() for _ in range(11)] for _ in range(12)]
+    fill = lambda f: f[:6] + [str(r.randrange(10**6))] + f[6:]
+    text = lambda: [w for f in r.sample(frames, 6) for w in fill(f)]
+    item = [text() for _ in range(8)]
+    docs = [(k, text() + text() + item[k][5:60] + text()) for k in range(8)] + [(50 + k, text() + text() + item[k][24:36] + text()) for k in range(8)] + [(90, text() * 4)]
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(item)], "item_id long, text string")
+    got = L.leaked_items(d, i, doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text").collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(k, k) for k in range(8)]
+
+
 def test_mixture_meets_budgets(spark):
     r = random.Random(1)
     docs = [(i, s, r.randrange(1, 40)) for i, s in enumerate(["big"] * 4000 + ["mid"] * 300 + ["small"] * 20 + ["other"] * 50)] + [(90_000, None, 5), (90_001, "mid", 0), (90_002, "mid", None)]

@@ -3,7 +3,9 @@
 The automaton holds every word sequence of the evaluation items.  A document's words are streamed
 through it; at each word it knows the longest sequence ending there that stands in some item.
 Maximal matches are laid against the item, near ones on one course are joined (so light rewording
-does not part them), and the item's words so covered decide.
+does not part them), and the item's words so covered decide.  A match that stands in one item only
+is evidence by its length; what stands in several items too (stock phrases) fills up a passage
+but does not make one.
 """
 
 from __future__ import annotations
@@ -26,17 +28,18 @@ from tidemark.llm import words as W
 class LeakLimits:
     """share: least part of an item's words in the passage; least: shortest match in words that counts;
     gap: most words between matches of one piece; pieces: parts a passage may be in;
-    stock: a sequence of this many words standing in ``stock_items`` clearly different items or more is a stock phrase;
-    own: least part of a piece's words that lies outside stock phrases;
+    evidence: words that the pieces must hold in matches standing in this item only (its likes apart);
+    alone: fewest such words of a piece that count for it (a sentence of stock wording has fewer);
+    own: four-word sequences (``least`` words) standing in no other item that a document must hold;
     shard_words: items are streamed in shards of at most so many words, which bounds the automaton."""
 
     share: float = 0.3
     least: int = 4
     gap: int = 4
     pieces: int = 2
-    stock: int = 3
-    stock_items: int = 2
-    own: float = 0.2
+    evidence: int = 25
+    alone: int = 15
+    own: int = 3
     shard_words: int = 200_000
 
 
@@ -148,10 +151,11 @@ class LeakFinder:
         self.known, self.codes = known, np.array([vocabulary[int(w)] for w in known], np.int64)
         self.item_of = np.repeat(np.arange(len(items)), self.sizes)
         a = self.automaton
+        flat = np.concatenate([np.array(s, np.int64) for s in coded]) if coded else np.zeros(0, np.int64)
+        key, inside = self._grams(flat, self.item_of)
         grams = defaultdict(set)
-        for k, s in enumerate(coded):
-            for i in range(len(s) - limits.stock + 1):
-                grams[tuple(s[i : i + limits.stock])].add(k)
+        for g, k in zip(key[inside].tolist(), self.item_of[: len(key)][inside].tolist()):
+            grams[g].add(k)
         self.family = _families(grams, len(items))
         # A match in one item of a family hides shorter ones in its likes: each of several likes is streamed through alone.
         members = Counter(self.family)
@@ -161,21 +165,10 @@ class LeakFinder:
         #: The one family of items a state's sequences stand in, else -1; and, filled as needed, the places of each state by item.
         self.sole = [int(owner[x]) if y > x and owner[x] == owner[y - 1] and (y - x == 1 or (owner[x:y] == owner[x]).all()) else -1 for x, y in zip(a.lo, a.hi)]
         self.places: dict[int, dict[int, list[int]]] = {}
-        stock = {g for g, ks in grams.items() if len({self.family[k] for k in ks}) >= limits.stock_items}
-        self.stock = []
-        for s in coded:
-            marks = np.zeros(len(s), bool)
-            for i in range(len(s) - limits.stock + 1):
-                if tuple(s[i : i + limits.stock]) in stock:
-                    marks[i : i + limits.stock] = True
-            self.stock.append(marks)
-        # Sequences of ``least`` words that are not stock alone: every passage that counts holds one of them,
-        # so documents without any need not be streamed.
-        flat = np.concatenate([np.array(s, np.int64) for s in coded]) if coded else np.zeros(0, np.int64)
-        key, inside = self._grams(flat, self.item_of)
-        k = limits.least
-        own = np.concatenate([[0], np.cumsum(~np.concatenate(self.stock))]) if coded else np.zeros(1, np.int64)
-        self.grams = np.unique(key[inside & (own[k : k + len(key)] > own[: len(key)])]) if len(key) else key
+        #: All sequences of ``least`` words, and the one family each stands in, else -1.
+        self.grams = np.array(sorted(grams), np.uint64)
+        families = [{self.family[k] for k in grams[g]} for g in sorted(grams)]
+        self.gram_family = np.array([min(f) if len(f) == 1 else -1 for f in families], np.int64)
 
     def _grams(self, codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = self.limits.least
@@ -200,11 +193,24 @@ class LeakFinder:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         codes = np.where(self.known[at] == hashes, self.codes[at], -1)
         key, inside = self._grams(codes, row)
-        spot = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1) if len(self.grams) else np.zeros(len(key), np.int64)
-        hit = inside & (self.grams[spot] == key) if len(self.grams) else np.zeros(len(key), bool)
-        enough = np.flatnonzero(np.bincount(row[: len(key)][hit], minlength=len(column)))
-        for r in enough.tolist():
-            found = self.judge(codes[first[r] : first[r + 1]].tolist())
+        if not len(key) or not len(self.grams):
+            return rows, items, shares
+        spot = np.minimum(np.searchsorted(self.grams, key), len(self.grams) - 1)
+        hit = inside & (self.grams[spot] == key)
+        # Only documents with enough sequences that stand in one family of items are streamed.
+        place = np.flatnonzero(hit & (self.gram_family[spot] >= 0))
+        pair, n = np.unique(row[place] * len(self.family) + self.gram_family[spot[place]], return_counts=True)
+        wanted = defaultdict(set)
+        for p in pair[n >= self.limits.own].tolist():
+            wanted[p // len(self.family)].add(p % len(self.family))
+        for r, families in wanted.items():
+            lo, hi = int(first[r]), int(first[r + 1])
+            # Every match lies within words whose sequences of ``least`` are all known; the rest needs no streaming.
+            inner = np.zeros(hi - lo, bool)
+            at = np.flatnonzero(hit[lo : min(hi, len(hit))])
+            for j in range(self.limits.least):
+                inner[at + j] = True
+            found = self.judge(np.where(inner, codes[lo:hi], -1).tolist(), families)
             for k, share in found.items():
                 for i in self.ids[k]:
                     rows.append(r)
@@ -212,21 +218,18 @@ class LeakFinder:
                     shares.append(share)
         return rows, items, shares
 
-    def judge(self, seq: list[int]) -> dict[int, float]:
-        """Items of which the matches of one document cover enough, with the share covered."""
+    def judge(self, seq: list[int], families: set[int]) -> dict[int, float]:
+        """Items of ``families`` of which the matches of one document cover enough, with the share covered."""
         a, lim = self.automaton, self.limits
         matches = a.matches(seq, lim.least)
-        # A word outside stock phrases stands in matches of one family of items only: items without enough of those can't reach
-        # the limits, and the many items that share a stock phrase are looked at for the others' sake no more.
         alone: dict[int, int] = defaultdict(int)
         for _, n, s in matches:
-            if (k := self.sole[s]) >= 0:
-                alone[k] += n
-        wanted = [k for k, f in enumerate(self.family) if alone.get(f, -1) >= lim.own * lim.share * self.sizes[k]] if alone else []
-        if not wanted:
-            return {}
-        by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for end, n, s in matches:
+            if (f := self.sole[s]) >= 0:
+                alone[f] += n
+        families = {f for f in families if alone[f] >= lim.evidence}
+        wanted = [k for k, f in enumerate(self.family) if f in families] if families else []
+        by_item: dict[int, list[tuple[int, int, int, bool]]] = defaultdict(list)
+        for end, n, s in matches if wanted else ():
             places = self.places.get(s)
             if places is None:
                 places = defaultdict(list)
@@ -236,49 +239,59 @@ class LeakFinder:
             for k in wanted:
                 if k not in self.likes:
                     for e in places.get(k, ()):
-                        by_item[k].append((end - n + 1, e - n + 1, n))
+                        by_item[k].append((end - n + 1, e - n + 1, n, self.sole[s] >= 0))
         for k in wanted:
             if k in self.likes:
                 if k not in self.alone:
                     self.alone[k] = SuffixAutomaton([self.likes[k]])
                 one = self.alone[k]
-                by_item[k] = [(end - n + 1, e - n + 1, n) for end, n, s in one.matches(seq, lim.least) for e in one.order[one.lo[s] : one.hi[s]]]
+                sole = np.zeros(len(seq) + 1, np.int64)  # words of the document in matches of this family only
+                for end, n, s in matches:
+                    if self.sole[s] == self.family[k]:
+                        sole[end - n + 1 : end + 1] = 1
+                sole = np.cumsum(sole)
+                by_item[k] = [(end - n + 1, e - n + 1, n, bool(2 * (sole[end] - (sole[end - n] if end >= n else 0)) >= n)) for end, n, s in one.matches(seq, lim.least) for e in one.order[one.lo[s] : one.hi[s]]]
         out = {}
         for k, found in by_item.items():
             need = lim.share * self.sizes[k]
-            if sum(n for _, _, n in found) < need * 0.5:
+            if sum(n for _, _, n, _ in found) < need * 0.5:
                 continue
             found.sort()
-            pieces: list[list[int]] = []  # document end, item start, item end, words outside stock phrases
-            for d, i, n in found:
+            pieces: list[list] = []  # document end, item end, item start, matches
+            for d, i, n, sole in found:
                 for p in pieces:
-                    step, jump = d - p[0], i - p[2]
+                    step, jump = d - p[0], i - p[1]
                     if -n < step <= lim.gap and -n < jump <= lim.gap and abs(step - jump) <= 2:
-                        p[0], p[2] = d + n, max(p[2], i + n)
-                        p[3].append((i, i + n))
+                        p[0], p[1] = d + n, max(p[1], i + n)
+                        p[3].append((i, i + n, sole))
                         break
                 else:
-                    pieces.append([d + n, i, i + n, [(i, i + n)]])
+                    pieces.append([d + n, i + n, i, [(i, i + n, sole)]])
             good = []
-            for _, lo, hi, parts in pieces:
-                covered = np.zeros(self.sizes[k], bool)
-                for x, y in parts:
+            for _, hi, lo, parts in pieces:
+                covered, sole = np.zeros(self.sizes[k], bool), np.zeros(self.sizes[k], bool)
+                for x, y, one in parts:
                     covered[x:y] = True
-                own = (covered & ~self.stock[k]).sum()
-                if own >= lim.own * covered.sum():
-                    good.append((int(covered.sum()), lo, hi))
+                    if one:
+                        sole[x:y] = True
+                if sole.any():
+                    good.append((int(sole.sum()), int(covered.sum()), lo, hi))
+            # The piece with most evidence leads; those that cover most go with it.
             good.sort(reverse=True)
+            good[1:] = sorted(good[1:], key=lambda g: -g[1])
+            if sum(g[0] for g in good[: lim.pieces] if g[0] >= lim.alone) < lim.evidence:
+                continue
             taken = np.zeros(self.sizes[k], bool)
-            for _, lo, hi in good[: lim.pieces]:
+            for _, _, lo, hi in good[: lim.pieces]:
                 taken[lo:hi] = True
             if taken.sum() >= need:
                 out[k] = float(taken.sum()) / self.sizes[k]
         return out
 
 
-def _families(grams: dict[tuple, set[int]], n: int) -> list[int]:
+def _families(grams: dict[int, set[int]], n: int) -> list[int]:
     """Family of each of ``n`` items: those sharing more than half of the larger one's sequences are one."""
-    own: list[list[tuple]] = [[] for _ in range(n)]
+    own: list[list[int]] = [[] for _ in range(n)]
     for g, ks in grams.items():
         for k in ks:
             own[k].append(g)
@@ -302,48 +315,61 @@ def _families(grams: dict[tuple, set[int]], n: int) -> list[int]:
 def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str, doc_text: str, item_id: str, item_text: str, limits: LeakLimits = LeakLimits()) -> DataFrame:
     """Rows (``doc_id``, ``item_id``, ``share``): documents holding a passage of an evaluation item.
 
-    ``share`` is the part of the item's words in the passage.  Items are collected (evaluation sets
-    are small) in shards of at most ``limits.shard_words`` words, each sent out as a broadcast of bounded size;
-    the documents are streamed once through each shard, to their ends, and never shuffled.  Null or empty texts on
-    either side match nothing; items of one word sequence are looked for once and all reported; items under ``limits.least`` words never match; repeated documents are each reported, repeated
+    ``share`` is the part of the item's words in the passage.  Items come to the driver in shards of at
+    most ``limits.shard_words`` words (evaluation sets are small: one shard holds over a thousand items); each shard is a broadcast of
+    bounded size of its own, and the documents are streamed once for each, to their ends, and never shuffled.  Null or
+    empty texts on either side match nothing; items of one word sequence are looked for once and all reported; items
+    under ``limits.evidence`` words never match; repeated documents are each reported, repeated
     item ids once per document.  Empty tables give an empty result.
     """
-    spark = documents.sparkSession
-    rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), F.col(item_text).cast("string")).orderBy(item_id).collect()
-    hashes, row, first = W.split_joined(W.plain(pc.replace_substring_regex(pa.array([r[1] for r in rows], pa.string()), r"<[^<>]{1,60}>", " ")))
+    rows = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), F.col(item_text).cast("string")).orderBy(item_id)
+    kind = documents.schema[doc_id].dataType.simpleString()
+    schema = f"{doc_id} {kind}, {item_id} bigint, share double"
+    texts = documents.select(F.col(doc_id).alias("id"), F.col(doc_text).cast("string").alias("text"))
+    found = None
+    for shard in _shards(rows, limits.shard_words):
+        one = texts.mapInArrow(_scan(documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, shard)), limits, doc_id, item_id), schema)
+        found = one if found is None else found.union(one)
+    if found is None:
+        return documents.sparkSession.createDataFrame([], schema)
+    return found if found is one else found.groupBy(doc_id, item_id).agg(F.max("share").alias("share"))
+
+
+def _shards(rows: DataFrame, most: int) -> Iterator[list[tuple[list[int], list[int]]]]:
+    """Items as (ids, words) in lists of at most ``most`` words; one word sequence is one entry of a list."""
     same: dict[tuple, list[int]] = {}
-    for k, r in enumerate(rows):
-        same.setdefault(tuple(hashes[first[k] : first[k + 1]].tolist()), []).append(r[0])
-    shards: list[list] = [[]]
     size = 0
-    for words, ids in same.items():
-        seq = list(words)
-        if size and size + len(seq) > limits.shard_words:
-            shards.append([])
-            size = 0
-        shards[-1].append((list(dict.fromkeys(ids)), seq))
-        size += len(seq)
-    held = spark.sparkContext.broadcast((uuid.uuid4().hex, shards))
-    kind = documents.schema[doc_id].dataType.simpleString()
-
+    for r in rows.toLocalIterator():
+        words = tuple(W.split_joined(W.plain(pc.replace_substring_regex(pa.array([r[1]], pa.string()), r"<[^<>]{1,60}>", " ")))[0].tolist())
+        if not words:
+            continue
+        if size and size + len(words) > most:
+            yield [(list(dict.fromkeys(ids)), list(w)) for w, ids in same.items()]
+            same, size = {}, 0
+        same.setdefault(words, []).append(r[0])
+        size += len(words)
+    if same:
+        yield [(list(dict.fromkeys(ids)), list(w)) for w, ids in same.items()]
+
+
+def _scan(held, limits: LeakLimits, doc_id: str, item_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, shards = held.value
-        finders = _FINDERS.get(name)
-        if finders is None:
-            _FINDERS.clear()
-            finders = _FINDERS[name] = [LeakFinder(s, limits) for s in shards if s]
+        name, shard = held.value
+        finder = _FINDERS.get(name)
+        if finder is None:
+            _FINDERS.clear()  # one shard at a time
+            finder = _FINDERS[name] = LeakFinder(shard, limits)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 best: dict[tuple[int, int], float] = {}
-                for finder in finders:
-                    for r, k, share in zip(*finder.find(part["text"])):
-                        best[r, k] = max(share, best.get((r, k), 0.0))
+                for r, k, share in zip(*finder.find(part["text"])):
+                    best[r, k] = max(share, best.get((r, k), 0.0))
                 if best:
                     r, k = zip(*best)
                     yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(r)), pa.array(k, pa.int64()), pa.array(list(best.values()), pa.float64())], names=[doc_id, item_id, "share"])
 
-    return documents.select(F.col(doc_id).alias("id"), F.col(doc_text).cast("string").alias("text")).mapInArrow(run, f"{doc_id} {kind}, {item_id} bigint, share double")
+    return run
 
 
-_FINDERS: dict[str, list[LeakFinder]] = {}  # of this worker process: building the automaton once is enough
+_FINDERS: dict[str, LeakFinder] = {}  # of this worker process: building the automaton once is enough
