@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+import re
+import zlib
 from itertools import product
 
 import numpy as np
@@ -367,3 +369,33 @@ def test_scores_of_all_rows(spark, network):
     s = sorted((x.doc_id or 0, x.abuse_score) for x in got)
     assert s[1] == (1, 0.0) and s[2] == (2, 0.0) and max(v for k, v in s if k == 4) > 0.9 > 0.5 > max(v for k, v in s if k == 3)
     assert A.score_texts(df.limit(0), net, id="doc_id", text="text").count() == 0
+
+
+def test_abuse_on_rated_texts_held_out(data):
+    """A third of the rated texts is kept back, whole wordings at a time: of wordings never seen, over half are found."""
+    import pyarrow.parquet as pq
+
+    rated = pq.read_table(f"{data}/rated_texts.parquet").to_pylist()
+    documents = [t for t in pq.read_table(f"{data}/documents.parquet")["text"].to_pylist() if t]
+    held = lambda t: zlib.crc32(" ".join(sorted(t.lower().split()[:3])).encode()) % 3 == 0
+    net = A.train([(x["text"], x["rating"] != "none") for x in rated if not held(x["text"])], documents, copies=4000, hard=2000)
+    test = [x for x in rated if held(x["text"])]
+    score = net.score_column(pa.array([x["text"] for x in test]))
+    hit = sum(s >= 0.7 and x["rating"] != "none" for s, x in zip(score, test))
+    wrong = sum(s >= 0.7 and x["rating"] == "none" for s, x in zip(score, test))
+    bad = sum(x["rating"] != "none" for x in test)
+    assert bad >= 20 and hit >= 0.5 * bad and wrong <= 0.1 * (len(test) - bad)
+
+
+def test_no_seed_stands_in_the_documents(data):
+    """No seed sentence may share four successive words with a document to be scored."""
+    import pyarrow.parquet as pq
+
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    fours = lambda w: set(zip(w, w[1:], w[2:], w[3:]))
+    seeds = set()
+    for s in [*(s for kind in A._SEEDS.values() for s in kind), *A._CLEAN]:
+        for part in re.split(r"\{[ig]\}", s):
+            seeds |= fours(words(part))
+    for t in pq.read_table(f"{data}/documents.parquet")["text"].to_pylist():
+        assert not seeds & fours(words(t or ""))

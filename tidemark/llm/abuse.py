@@ -20,39 +20,43 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE = 24, 16
+# Windows overlap by 16 words, so every passage of up to 16 words stands whole in one.
+WINDOW, STRIDE = 32, 16
 
-# Seed material for spellings, languages and wordings that the rated texts lack.
+# Seed material of common coarse language; no sentence of it is taken from texts to be scored.
 _INSULTS = "moron idiot bastard asshole prick scum trash loser cretin dirtbag piece_of_shit son_of_a_bitch motherfucker dickhead wanker dumbass douchebag retard whore slut cunt parasite vermin imbecile clown".split()
-_GROUPS = "women gays foreigners immigrants refugees muslims jews blacks disabled_people old_people people_of_that_faith gypsies asians lesbians christians".split()
+_GROUPS = "women gays foreigners immigrants refugees muslims jews blacks gypsies asians lesbians christians".split()
 _SEEDS = {
     1: [
-        "only a fucking {i} would buy this, get lost", "shut your mouth you brainless {i}", "shut the fuck up you stupid {i}", "go to hell you filthy {i}", "you {i}, i hope you die", "fuck off you {i}",
-        "he is a lying {i} and should be shot", "i will find you and kill you", "i will beat you up you {i}", "go kill yourself, nobody will miss you", "nobody asked you {i}, crawl back into your hole", "she is a stupid bitch who should be beaten", "someone should hang that worthless {i}", "kill yourself you useless {i}", "what a dumb {i}, screw you all",
-        "everyone of you is a pathetic {i}", "this piece of shit is a liar", "drop dead you {i}", "you are all fucking stupid", "the chief is a goddamn {i}", "ihr seid alle dreckige schweine und hurensöhne",
-        "ihr seid alle arschlöcher und wichser", "du verdammter hurensohn halt die fresse", "verpiss dich du arschloch", "fick dich du dreckige sau", "du bist ein dummes stück scheiße", "ihr seid alle dreckige lügner und idioten", "ich bringe dich um du schwein",
-        "sois todos unos imbéciles de mierda", "sois todos unos hijos de puta", "vete a la mierda cabrón", "eres un gilipollas de mierda", "que te jodan hijo de puta", "sois unos cabrones y unos inútiles", "te voy a matar cabrón",
-        "vous êtes tous des connards et des ordures", "ferme ta gueule espèce de connard", "va te faire foutre salaud", "espèce de salope de merde", "bande de cons et de merdeux", "je vais te tuer enculé", "sales fils de pute",
+        "i hope you get cancer and die", "i will come to your house and slit your throat", "nobody likes you, you fat ugly {i}", "go fuck yourself", "burn in hell you {i}", "i swear i will strangle that {i}", "bloody {i}s the lot of them", "you absolute {i}, go back to school", "your mother is a whore", "shut up you fat pig", "you worthless {i}, nobody wants you here", "du widerlicher drecksack", "halts maul du vollidiot", "ich hoffe du verreckst", "ihr verdammten idioten", "man sollte dich erschießen du penner", "leck mich am arsch du trottel", "dumme kuh", "ihr blöden wichser und dreckskerle", "cállate la boca estúpido", "ojalá te mueras maldito", "eres una puta basura", "maldito imbécil de mierda", "lárgate inútil asqueroso", "panda de idiotas y ladrones", "crève sale ordure", "tu es un gros débile", "nique ta mère", "bande d abrutis finis", "pauvre type tu mérites de crever", "ta gueule imbécile", "sales cons et minables",
+        "shut the fuck up you stupid {i}", "go to hell you filthy {i}", "you {i}, i hope you die", "fuck off you {i}",
+        "i will find you and kill you", "i will beat you up you {i}", "someone should hang that worthless {i}", "kill yourself you useless {i}", "what a dumb {i}, screw you all",
+        "drop dead you {i}",
+        "du verdammter hurensohn halt die fresse", "verpiss dich du arschloch", "fick dich du dreckige sau", "du bist ein dummes stück scheiße", "ich bringe dich um du schwein",
+        "vete a la mierda cabrón", "eres un gilipollas de mierda", "que te jodan hijo de puta", "sois unos cabrones y unos inútiles", "te voy a matar cabrón",
+        "ferme ta gueule espèce de connard", "va te faire foutre salaud", "espèce de salope de merde", "bande de cons et de merdeux", "je vais te tuer enculé", "sales fils de pute",
     ],
     2: [
-        "{g} are vermin and should be exterminated", "{g} are a disease", "deport all {g} now", "{g} do not deserve to live", "all {g} are subhuman animals", "we should get rid of the {g}", "i hate {g}, they ruin everything", "{g} are inferior and too stupid to work here",
-        "keep the dirty {g} out of our country", "{g} should be driven out", "gas all the {g}", "{g} verdienen es nicht zu leben", "ausländer raus aus unserem land", "alle {g} sind ungeziefer und gehören vertrieben", "los {g} son una plaga y hay que echarlos",
-        "hay que deportar a todos los {g}", "los inmigrantes son basura", "les {g} sont des parasites et il faut les expulser", "les étrangers ne méritent pas de vivre", "dehors les sales étrangers", "i hate {g}, they breed like rats", "{g} are subhuman, keep them out",
+        "{g} should go back where they came from", "{g} are criminals and rapists, all of them", "burn down the houses of the {g}", "never hire {g}, they are lazy and they steal", "the {g} must be wiped out", "no {g} allowed here, they stink", "{g} are too dumb to run a company", "{g} are a cancer on this country", "a brain like that belongs in a kitchen, {g} cannot count", "{g} sind der abschaum der menschheit", "{g} gehören ins lager", "{g} haben hier nichts zu suchen, sie sind dumm und faul", "{g} sind wie ratten", "{g} son inferiores y sucios", "fuera los {g} de aquí", "los {g} huelen mal y roban", "mort aux {g}", "les {g} sont une race inférieure", "il faut chasser les {g}, ils puent",
+        "deport all {g} now", "{g} do not deserve to live", "all {g} are subhuman animals", "we should get rid of the {g}", "i hate {g}, they ruin everything", "{g} are inferior and too stupid to work here",
+        "keep the dirty {g} out of our country", "gas all the {g}", "ausländer raus aus unserem land", "alle {g} sind ungeziefer und gehören vertrieben", "los {g} son una plaga y hay que echarlos",
+        "hay que deportar a todos los {g}", "los inmigrantes son basura", "les {g} sont des parasites et il faut les expulser", "les étrangers ne méritent pas de vivre", "dehors les sales étrangers",
     ],
     3: [
-        "i want to fuck you all night", "full xxx video of couples having sex", "he put his dick in her mouth", "she sucked his cock on the desk", "lick my wet pussy", "horny milf wants hard sex tonight", "watch free porn and nude girls here", "naked teens show their tits on cam",
+        "suck my dick", "ride my cock baby", "hardcore gangbang movie", "cum in my mouth", "escort girls for sex in your area", "he fingered her until she came", "her nipples were hard and she begged for it", "anal sex with two guys", "i dream of your naked body in my bed", "sex chat with hot girls now", "he licked her all over and she moaned", "blas mir einen", "steck ihn mir rein", "ich bin so feucht und geil", "sexfilme gratis ansehen", "sie stöhnte als er sie fickte", "chúpame la polla", "tetas grandes y coños mojados", "sexo anal gratis", "ella gemía mientras él la follaba", "elle lui a sucé la queue", "baise moi fort", "gros seins et chattes mouillées", "elle gémissait pendant qu il la baisait",
+        "he put his dick in her mouth", "she sucked his cock on the desk", "lick my wet pussy", "horny milf wants hard sex tonight", "watch free porn and nude girls here", "naked teens show their tits on cam",
         "she spread her legs and moaned as he fucked her", "send nudes and i make you cum", "big boobs and a tight ass", "he came all over her tits", "blowjob video uncensored", "masturbating naked on camera", "ich will dich die ganze nacht ficken", "geile nackte weiber wollen sex",
-        "sie lutschte seinen schwanz", "quiero follarte toda la noche", "chicas calientes desnudas quieren sexo ahora", "vídeo porno sin censura", "je veux te baiser toute la nuit", "filles nues et chaudes cherchent du sexe", "vidéo porno non censurée", "suce ma bite", "show me your tits", "she stripped naked and sucked him off", "i want to fuck you right here on the desk",
+        "sie lutschte seinen schwanz", "quiero follarte toda la noche", "chicas calientes desnudas quieren sexo ahora", "vídeo porno sin censura", "je veux te baiser toute la nuit", "filles nues et chaudes cherchent du sexe", "vidéo porno non censurée", "suce ma bite",
     ],
 }
 _CLEAN = [
     "the court heard that the man had killed two people in a shooting", "police charged a director with sexual harassment of staff", "the report on discrimination against women was published", "a bill against hate crime passed", "refugees arrived at the border and aid groups asked for funds",
-    "the pump and dump case goes to court", "naked short positions were closed", "strip bond desk", "dead cat bounce", "bears got slaughtered at the open", "the shares trade cum dividend", "the review would kill the deal", "a terrible report, weak guidance and awful execution", "this management has failed and should resign",
-    "the worst quarter in years, i am selling everything", "the plan is stupid and the numbers are poor", "immigrants founded one in five companies", "women hold a third of board seats", "the disabled access fund received donations", "gays and lesbians won equal pension rights in court", "old people hold most of the bonds", "people of that faith opened an office",
-    "a murder trial began and the suspect denied the charge", "the attack left three dead", "victims of abuse received support", "the sex discrimination claim was settled", "the adult education division rose", "the bank was hit by a strike", "bullet points in the head office letter", "cocktail bars and essex hotels reported revenue", "the analyst assumed a massive basis shift in september",
-    "the disease outbreak hurt sales and people were sent home", "a bullet train maker won an order", "the drug for the disease reached more users", "foreigners bought shares in the company", "no place in the index for the stock", "we should review all contracts before they expire", "he sent me his trading tips", "somebody should put a question to the finance chief",
-    "i know where the price is going and i will hold", "what a bunch of great results, thanks to every one of you", "you are all welcome at the meeting and you deserve to hear everything", "the chief executive is a respected manager and i hope he stays", "die aktionäre verdienen es eine dividende zu erhalten", "ihr seid alle eingeladen und willkommen", "vous êtes tous des actionnaires fidèles",
-    "sois todos bienvenidos a la junta", "hot commodities and hard assets", "click here for the annual report", "watch the webcast of the general meeting here", "the uncensored transcript of the call", "women are underpaid in finance, a study shows", "he is so hard to reach about the loan", "under the table payments were found by the auditor",
+    "naked short positions were closed", "a terrible report, weak guidance and awful execution", "this management has failed and should resign",
+    "the worst quarter in years, i am selling everything", "the plan is stupid and the numbers are poor", "immigrants founded one in five companies", "women hold a third of board seats", "the disabled access fund received donations", "gays and lesbians won equal pension rights in court", "old people hold most of the bonds",
+    "a murder trial began and the suspect denied the charge", "the attack left three dead", "the sex discrimination claim was settled", "bullet points in the head office letter", "cocktail bars and essex hotels reported revenue", "the analyst assumed a massive basis shift in september",
+    "the disease outbreak hurt sales and people were sent home", "a bullet train maker won an order", "the drug for the disease reached more users", "foreigners bought shares in the company", "we should review all contracts before they expire", "he sent me his trading tips",
+    "die aktionäre verdienen es eine dividende zu erhalten",
+    "sois todos bienvenidos a la junta", "hot commodities and hard assets", "click here for the annual report", "the uncensored transcript of the call", "women are underpaid in finance, a study shows",
 ]
 
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһкмтѵ", "aeopcyxijsdhkmtv") | {0xAD: None, 0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None, 0x2060: None, 0xA0: " "}
@@ -273,33 +277,35 @@ def _misspell(word: str, r: np.random.Generator) -> str:
     return "-".join(word)
 
 
-def train(rated: list[tuple[str, bool]], background: list[str], *, copies: int = 6000, epochs: tuple[int, int] = (6, 6), hard: int = 6000, seed: int = 7) -> Network:
-    """Fit the network on rated texts, the seed sentences and background windows taken as clean.
+def train(rated: list[tuple[str, bool]], background: list[str], *, copies: int = 6000, epochs: tuple[int, int] = (6, 6), hard: int = 6000, seed: int = 7, seeds: bool = True) -> Network:
+    """Fit the network on rated texts, the seed sentences (unless ``seeds`` is off) and background windows taken as clean.
 
-    ``rated``: (text, abusive?).  ``background``: whole texts; at most ``copies`` of their windows
+    ``rated``: (text, abusive?); of a text longer than a window the part that scores highest counts, in the
+    first phase a random one.  ``background``: whole texts; at most ``copies`` of their windows
     are used.  All sizes are bounded by the parameters, whatever the corpus.
     """
     r = np.random.default_rng(seed)
     bad = [t for t, y in rated if y]
-    good = [t for t, y in rated if not y] + _CLEAN
+    good = [t for t, y in rated if not y] + (_CLEAN if seeds else [])
     groups = [g.replace("_", " ") for g in _GROUPS]
     insults = [i.replace("_", " ") for i in _INSULTS]
-    seeds = [s for kind in _SEEDS.values() for s in kind]
+    seeds = [s for kind in _SEEDS.values() for s in kind] if seeds else []
     toks = lambda t: t.split()
     pool = [w for t in background for w in [t.split()] if w]
     some = lambda k: (lambda w: (lambda i: w[i : i + k])(int(r.integers(max(1, len(w) - k + 1)))))(pool[int(r.integers(len(pool)))]) if pool and k > 0 else []
-    # Words of the abusive material that are no everyday words of the corpus: windows with them are not taken as clean.
+    # Words of the abusive material that are no everyday words of the corpus: windows with two of them are not taken as clean; one alone is
+    # more often the common word of another trade (an abusive passage has several).
     spread = Counter(w for t in background for w in set(token_lists(pa.array([t]))[2]))
     everyday = {w for w, n in spread.items() if n >= max(3, len(background) // 15)}
     marked = {w for t in [*bad, *seeds, *insults, *groups] for w in token_lists(pa.array([t]))[2]} - everyday
     names = sorted({x for w in pool[:400] for x in w if x.istitle() and x.isalpha() and len(x) >= 4})
     part = lambda: names[int(r.integers(len(names)))]
     splice = lambda: (lambda a, b: a[: len(a) // 2] + b[len(b) // 2 :].lower())(part(), part())
-    texts, labels = [], []
+    texts, labels, long_texts = [], [], []
     for _ in range(copies):
         positive = r.random() < 0.5
         if positive:
-            s = bad[int(r.integers(len(bad)))] if bad and r.random() < 0.45 else seeds[int(r.integers(len(seeds)))]
+            s = bad[int(r.integers(len(bad)))] if bad and (r.random() < 0.6 or not seeds) else seeds[int(r.integers(len(seeds)))]
             s = s.replace("{i}", insults[int(r.integers(len(insults)))]).replace("{g}", groups[int(r.integers(len(groups)))])
         else:
             s = good[int(r.integers(len(good)))]
@@ -312,8 +318,11 @@ def train(rated: list[tuple[str, bool]], background: list[str], *, copies: int =
             words[k] = _misspell(words[k], r)
         if r.random() < 0.15:
             words = [w.upper() for w in words]
-        words = words[:WINDOW]
-        if r.random() < 0.8:  # in the midst of other text
+        if len(words) > WINDOW:
+            at = int(r.integers(len(words) - WINDOW + 1))
+            long_texts.append((len(texts), words))
+            words = words[at : at + WINDOW]
+        elif r.random() < 0.8:  # in the midst of other text
             free = WINDOW - len(words)
             left = int(r.integers(free + 1))
             words = some(left) + words + some(free - left)
@@ -321,7 +330,7 @@ def train(rated: list[tuple[str, bool]], background: list[str], *, copies: int =
         labels.append(positive)
     for _ in range(copies if pool else 0):
         w = some(WINDOW)
-        if marked.intersection(canonical(x.lower()) for x in w):
+        if len(marked.intersection(canonical(x.lower()) for x in w)) > 1:
             continue
         if names and r.random() < 0.6:  # names never seen before mean nothing
             w = [splice() if x[:1].isupper() and x.isalpha() and r.random() < 0.7 else x for x in w]
@@ -335,11 +344,15 @@ def train(rated: list[tuple[str, bool]], background: list[str], *, copies: int =
     net = Network({})
     for phase, n_epochs in enumerate(epochs):
         if phase:
-            # Clean windows the network still takes for abusive; those with words of the seeds alone stay out.
+            # Of longer labelled texts, the window that scores highest now stands for the text.
+            for i, words in long_texts:
+                parts = [" ".join(words[k : k + WINDOW]) for k in range(0, len(words) - WINDOW + STRIDE, STRIDE)]
+                texts[i] = parts[int(np.argmax(net.score_column(pa.array(parts))))]
+            # Clean windows the network still takes for abusive; those with several words of the seeds stay out.
             offsets, codes, tokens = token_lists(pa.array(background, pa.string()))
             own = np.array([t in marked for t in tokens] + [False])
             _, x = gather(offsets, codes, len(tokens))
-            x = x[~own[x].any(axis=1)]
+            x = x[own[x].sum(axis=1) < 2]
             vec = net.vectors(net.pieces(tokens + ["<pad>"]))
             y = np.concatenate([net.forward(vec, x[i : i + 4096]) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
             vocabulary = tokens + [""]

@@ -22,7 +22,7 @@ TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 # Pre-token pattern of the byte-level vocabulary (a fixed value that belongs to its ranks).
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Scores of clean and abusive windows part here (README, problem 10).
-ABUSE_SCORE = 0.98
+ABUSE_SCORE = 0.7
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
