@@ -139,3 +139,32 @@ def test_rolling_matches_brute_force(spark, windows):
 def test_rolling_empty(spark):
     df = spark.createDataFrame([], "e string, d date, v double")
     assert rolling_totals(df, entity="e", day="d", measures={"v": F.col("v")}).count() == 0
+
+
+def test_haar_details_add_up_and_wrong_days_in_a_row_are_both_found(spark):
+    import numpy as np
+
+    from tidemark.operators.readings import LEVELS, haar_details
+
+    x = np.array(noise(40) + noise(25, 2, 7.0))
+    start = np.array([0] * 40 + [40] * 25)
+    details, a = haar_details(x, start, LEVELS)
+    assert np.allclose(a + details.sum(axis=0), x)
+    assert np.allclose(a[3:40], [x[i - 3 : i + 1].mean() for i in range(3, 40)]) and np.allclose(details[0][1:40], np.diff(x[:40]) / 2)
+    v = noise(80)
+    v[30], v[31], v[50] = 900.0, 870.0, 4.0
+    assert flagged(spark, series(v)) == {(30, "spike"), (31, "spike"), (50, "spike")}
+
+
+def test_readings_over_batch_borders(spark):
+    """Many sources in one partition: the series that a batch of readings parts is judged whole."""
+    rows = []
+    for k in range(40):
+        v = noise(90, k)
+        v[45] *= 3
+        rows += series(v, f"s{k}", 1000 * k)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        assert flagged(spark, rows) == {(1000 * k + 45, "spike") for k in range(40)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

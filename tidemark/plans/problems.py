@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.readings import ReadingLimits, implausible_readings
+from tidemark.operators.readings import Field, ReadingLimits, implausible_fields
 from tidemark.operators.rolling import rolling_totals
 from tidemark.operators.versions import attributes_as_known
 from tidemark.session import table
 
-CLOSE_LIMITS = ReadingLimits(spike=8.0, floor=0.05, edge=1.0)
+CLOSE_LIMITS = ReadingLimits(spike=5.8, floor=0.05, edge=1.0)
 # Volumes swing widely from day to day and on news; a wrong one is off by a large factor.
-VOLUME_LIMITS = ReadingLimits(spike=4.5, floor=3.0, edge=3.5)
+VOLUME_LIMITS = ReadingLimits(spike=5.7, floor=3.0, edge=3.5)
 
 
 def p1_readings(spark: SparkSession, d: str) -> DataFrame:
     prices = table(spark, d, "prices_daily").select("price_id", "ticker", "date", "close", "volume")
-    close = implausible_readings(prices, source="ticker", position="date", value="close", active=F.coalesce(F.col("volume") != 0, F.lit(True)), limits=CLOSE_LIMITS)
-    volume = implausible_readings(prices, source="ticker", position="date", value="volume", lowest_ok=True, limits=VOLUME_LIMITS)
-    cols = ["price_id", "ticker", "bad_field", "reason"]
-    return close.withColumn("bad_field", F.lit("close")).select(cols).unionByName(volume.withColumn("bad_field", F.lit("volume")).select(cols))
+    traded = F.coalesce(F.col("volume") != 0, F.lit(True))
+    fields = [Field("close", active=traded, limits=CLOSE_LIMITS), Field("volume", lowest_ok=True, limits=VOLUME_LIMITS)]
+    return implausible_fields(prices, source="ticker", position="date", fields=fields).select("price_id", "ticker", "bad_field", "reason")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
