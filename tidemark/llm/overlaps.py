@@ -1,10 +1,13 @@
 """Same or near-same records across splits: a weighted cosine join.
 
-Texts are vectors of term weights: a power of the inverse document frequency, which is counted over
-all documents in a hashed table of fixed size.  Terms are ordered from heavy to light; a record is
-posted in the inverted lists of its leading terms only, as far as the norm of what remains could
-still reach the threshold, and a pair is dropped on the spot when the two residual norms at its common term can't.
-The dot products of the pairs left are computed exactly.
+Texts are vectors of term weights, the inverse document frequency: exact for the most frequent terms,
+one common value for all that are rarer than these.  The likeness of two texts is the cosine of these
+vectors (``cosine``).  A second cosine, of the weights raised to a power (``rare``), must be reached
+too: it is ruled by the rare terms, and it is the one that prunes.  By it terms are ordered from heavy
+to light; a record is posted in the inverted lists of its leading terms only, as far as the
+norm of what remains could still reach the threshold, so a list holds a term at its maximum weight first.  A pair is
+dropped on the spot when the two residual norms at its common term can't reach the threshold, or when bit
+signatures show that too few figures are common.  The dot products of the pairs left are computed exactly.
 """
 
 from __future__ import annotations
@@ -19,24 +22,42 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.components import components
-from tidemark.llm.dedup import DedupLimits, _stars, _title_links, article_features
+from tidemark.llm.dedup import _stars, _title_links, title_features
 from tidemark.session import cut, written
 
 
 @dataclass(frozen=True)
 class CosineLimits:
-    """cosine: least similarity; figures: least share of the smaller text's figures in both; power of the
-    inverse document frequency; lone: least similarity where the smaller text has one figure or none; buckets of the frequency table; pairs of a list
+    """cosine: least similarity; rare: least similarity by the weights to the ``power``; figures: least share of the
+    smaller text's figures in both; lone: least rare similarity where the smaller text has one figure or none;
+    terms: how many of the most frequent terms have frequencies of their own; pairs of a list
     compared in one block (a longer list is parted into blocks, and all of its pairs are compared)."""
 
-    cosine: float = 0.35
+    cosine: float = 0.5
+    rare: float = 0.35
     figures: float = 0.6
     power: float = 2.5
     lone: float = 0.55
-    buckets: int = 1 << 18
+    terms: int = 1 << 19
     pairs: int = 1_000_000
 
 
+@dataclass
+class TermWeights:
+    """Inverse document frequencies: of the terms in ``known`` (ascending hashes), and of all others."""
+
+    known: np.ndarray
+    idf: np.ndarray
+    other: float
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(terms), self.other)
+        distinct, use = np.unique(terms, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+        return np.where(self.known[at] == distinct, self.idf[at], self.other)[use]
+
+
 _YEARS = W.split(pa.array([str(y) for y in range(1900, 2100)])).hash
 _USD = W.split(pa.array(["usd"])).hash[0]
 
@@ -65,43 +86,57 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[new], h[new], fig[new]
 
 
-def term_weights(texts: DataFrame, text: str, limits: CosineLimits) -> np.ndarray:
-    """Weight of each bucket of terms, from document frequencies over all texts.
+def term_weights(texts: DataFrame, text: str, limits: CosineLimits) -> TermWeights:
+    """Weights of terms, from document frequencies over all texts.
 
-    What comes to the driver is the table itself, ``limits.buckets`` numbers at most, however many texts there are.
+    The driver gets the ``limits.terms`` most frequent terms of at least two texts, however many texts there are.  All
+    other terms stand in no more texts than the rarest of these and weigh alike.
     """
-    size = limits.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, n = np.zeros(size + 1, np.int64), 0
+        held, n = [], 0
         for batch in batches:
-            _, h, _ = _terms(batch["text"])
-            count[:size] += np.bincount((h % np.uint64(size)).astype(np.int64), minlength=size)
+            held.append(_terms(batch["text"])[1])
             n += batch.num_rows
-        count[size] = n
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["bucket", "n"])
-
-    rows = texts.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(size + 1, np.int64)
-    count[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return (np.log((count[size] + 1) / (count[:size] + 0.5)).clip(0.05) ** limits.power).astype(np.float32)
-
-
-def _postings(batch_texts: pa.Array, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leading terms of each text with the residual norm from each on: row, term, residual."""
-    row, h, _ = _terms(batch_texts)
-    w = weights[(h % np.uint64(len(weights))).astype(np.int64)].astype(np.float64)
+            if sum(map(len, held)) >= 2_000_000:
+                yield counted(held)
+                held = []
+        yield counted(held)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["term", "n"])
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        t, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
+
+    counts = cut(texts.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).where("term is null or n > 1"))
+    total = (counts.where("term is null").first() or {"n": 0})["n"]
+    top = counts.where("term is not null").orderBy(F.desc("n"), "term").limit(limits.terms).toArrow()
+    known, n = top["term"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(known)
+    rest = int(n.min()) if len(n) == limits.terms else 1
+    idf = lambda df: np.log((total + 1) / (df + 0.5)).clip(0.05)
+    return TermWeights(known[order], idf(n[order]).astype(np.float32), float(np.float32(idf(np.float64(rest)))))
+
+
+def _postings(batch_texts: pa.Array, weights: TermWeights, limits: CosineLimits) -> tuple[np.ndarray, ...]:
+    """Leading terms of each text with the residual norm from each on: row, term, residual; and figures, signature of each text."""
+    row, h, fig = _terms(batch_texts)
+    n = len(batch_texts)
+    number = fig & ~np.isin(h, _YEARS)
+    figures = np.bincount(row[number], minlength=n)
+    signature = np.zeros(n, np.uint64)
+    np.bitwise_or.at(signature, row[number], np.uint64(1) << (h[number] >> np.uint64(58)))
+    w = weights.of(h) ** limits.power
     order = np.lexsort((h, -w, row))
     row, h, w = row[order], h[order], w[order]
     energy = w * w
-    total = np.bincount(row, weights=energy, minlength=len(batch_texts))
+    total = np.bincount(row, weights=energy, minlength=n)
     run = np.cumsum(energy)
-    first = np.searchsorted(row, np.arange(len(batch_texts)))
+    first = np.searchsorted(row, np.arange(n))
     before = run - energy - (run[first[row]] - energy[first[row]] if len(row) else 0)
     left = np.sqrt(np.clip(1 - before / total[row], 0, 1)) if len(row) else before
-    keep = left >= threshold
-    return row[keep], h[keep], left[keep]
+    keep = left >= limits.rare
+    return row[keep], h[keep], left[keep], figures, signature
 
 
 def cosine_candidates(records: DataFrame, weights, limits: CosineLimits) -> DataFrame:
@@ -109,24 +144,28 @@ def cosine_candidates(records: DataFrame, weights, limits: CosineLimits) -> Data
 
     ``records``: ``id``, ``train`` (boolean), ``text``; ``weights``: the broadcast table.
     """
-    threshold = limits.cosine
+    threshold = limits.rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, h, left = _postings(batch["text"], weights.value, threshold)
+            row, h, left, figures, signature = _postings(batch["text"], weights.value, limits)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch["id"].take(at), batch["train"].take(at), pa.array(left.astype(np.float32))], names=["term", "id", "train", "left"])
+            cols = [pa.array(h.view(np.int64)), batch["id"].take(at), batch["train"].take(at), pa.array(left.astype(np.float32)), pa.array(np.minimum(figures, 32767).astype(np.int16)[row]), pa.array(signature.view(np.int64)[row])]
+            yield pa.RecordBatch.from_arrays(cols, names=["term", "id", "train", "left", "figures", "bits"])
 
     # Written, as both the counts and the join read it: one pass over the texts.
-    posted = written(records.mapInArrow(run, "term bigint, id bigint, train boolean, left float"))
+    posted = written(records.mapInArrow(run, "term bigint, id bigint, train boolean, left float, figures smallint, bits bigint"))
     n = lambda c: F.sum(c.cast("bigint"))
     lists = posted.groupBy("term").agg(n(F.col("train")).alias("nt"), n(~F.col("train")).alias("ne"))
     both = cut(posted.join(lists.where("nt > 0 and ne > 0"), "term"))
     # The training side of a long list is dealt into blocks, the other side goes to each: no key has more than about ``limits.pairs`` pairs.
     both = both.withColumn("blocks", F.greatest(F.lit(1), F.least(F.col("nt"), F.ceil(F.col("nt") * F.col("ne") / limits.pairs))).cast("int"))
-    one = both.where("train").select("term", F.pmod(F.hash("id"), F.col("blocks")).alias("block"), F.col("id").alias("a"), F.col("left").alias("la"))
-    two = both.where("not train").select("term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("left").alias("lb"))
-    return one.join(two, ["term", "block"]).where(F.col("la") * F.col("lb") >= threshold).select("a", "b").distinct()
+    one = both.where("train").select("term", F.pmod(F.hash("id"), F.col("blocks")).alias("block"), F.col("id").alias("a"), F.col("left").alias("la"), F.col("figures").alias("fa"), F.col("bits").alias("sa"))
+    two = both.where("not train").select("term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("left").alias("lb"), F.col("figures").alias("fb"), F.col("bits").alias("sb"))
+    # Common figures have common bits, but for those of one text that share a bit.
+    ones = lambda c: F.bit_count(c).cast("int")
+    most = ones(F.col("sa").bitwiseAND(F.col("sb"))) + F.least(F.col("fa") - ones(F.col("sa")), F.col("fb") - ones(F.col("sb")))
+    return one.join(two, ["term", "block"]).where((F.col("la") * F.col("lb") >= threshold) & (most >= limits.figures * F.least("fa", "fb"))).select("a", "b").distinct()
 
 
 def _judge(weights, limits: CosineLimits):
@@ -141,30 +180,29 @@ def _judge(weights, limits: CosineLimits):
                 # A record stands in many pairs: its terms are made once in a batch.
                 _, at, use = np.unique(batch[k].to_numpy(), return_index=True, return_inverse=True)
                 row, h, fig = _terms(batch[c].take(pa.array(at)))
-                w = table[(h % np.uint64(len(table))).astype(np.int64)].astype(np.float64)
-                norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(at)))
+                w = table.of(h)
+                norm = [np.sqrt(np.bincount(row, weights=w ** (2 * p), minlength=len(at))) for p in (1, limits.power)]
                 first = np.searchsorted(row, np.arange(len(at) + 1))
                 size = np.diff(first)[use]
                 out = np.repeat(np.arange(n), size)
                 take = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[use], size)
                 fig = fig & ~np.isin(h, _YEARS)
-                side.append((out, h[take], fig[take], w[take], norm[use]))
+                side.append((out, h[take], fig[take], w[take], [x[use] for x in norm]))
             (ra, ha, fa, wa, na), (rb, hb, fb, _, nb) = side
             key = lambda r, h: W.mix(h + r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             ka, kb = key(ra, ha), np.sort(key(rb, hb))
             common = kb[np.minimum(np.searchsorted(kb, ka), max(len(kb) - 1, 0))] == ka if len(kb) else np.zeros(len(ka), bool)
-            dot = np.bincount(ra[common], weights=(wa * wa)[common], minlength=n)
-            cosine = dot / np.maximum(na * nb, 1e-12)
+            cosine, rare = (np.bincount(ra[common], weights=wa[common] ** (2 * p), minlength=n) / np.maximum(x * y, 1e-12) for p, x, y in zip((1, limits.power), na, nb))
             figures = np.bincount(ra[common & fa], minlength=n)
             fewest = np.minimum(np.bincount(ra[fa], minlength=n), np.bincount(rb[fb], minlength=n))
-            ok = (cosine >= limits.cosine) & (figures >= limits.figures * fewest) & (cosine >= np.select([fewest > 2, fewest == 2], [limits.cosine, 1.2 * limits.cosine], limits.lone))
+            ok = (cosine >= limits.cosine) & (figures >= limits.figures * fewest) & (rare >= np.where(fewest > 1, limits.rare, np.maximum(limits.rare, limits.lone)))
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok)), pa.array(cosine[ok])], names=["a", "b", "cosine"])
 
     return run
 
 
 def judged(pairs: DataFrame, a: DataFrame, b: DataFrame, weights, limits: CosineLimits) -> DataFrame:
-    """Pairs whose texts (tables ``id``, ``text``) reach the cosine and have their figures in common."""
+    """Pairs whose texts (tables ``id``, ``text``) reach the cosines and have their figures in common."""
     full = pairs.join(a.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(b.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return full.select("a", "b", "ta", "tb").mapInArrow(_judge(weights, limits), "a bigint, b bigint, cosine double")
 
@@ -181,8 +219,8 @@ def cross_split_overlaps(
     """
     rows = records.where(F.col(id).isNotNull() & F.col(split).isNotNull()).select(F.col(id).cast("bigint").alias("id"), (F.col(split) == train).alias("train"), F.col(title).cast("string").alias("title"), F.col(body).cast("string").alias("body"))
     spark = records.sparkSession
-    feats = article_features(rows.withColumn("url", F.lit(None).cast("string")), id="id", url="url", title="title", body="body", limits=DedupLimits())
-    feats = written(feats.select("id", "title", "title_text", "halves", "body"))
+    words = F.trim(F.regexp_replace(F.lower("body"), r"[^\p{L}\p{N}]+", " "))
+    feats = written(title_features(rows.select("id", "title", F.when(words != "", F.xxhash64(words)).alias("body"))))
     weights = spark.sparkContext.broadcast(term_weights(rows, "body", limits))
     # Of exact copies in a part, the first stands for all.
     copies = _stars(feats.select("id", "body"), "body")
@@ -194,7 +232,7 @@ def cross_split_overlaps(
     wanted = feats.where("body is null and title is not null").select("title").distinct()
     under = feats.where("body is not null").select("title", "id").join(wanted, "title", "left_semi")
     peers = under.join(under.groupBy("title").agg(F.min("id").alias("a")), "title").where("id > a").select("a", F.col("id").alias("b"))
-    links = links.union(judged(cut(peers), texts, texts, weights, replace(limits, cosine=limits.cosine / 3)).select("a", "b"))
+    links = links.union(judged(cut(peers), texts, texts, weights, replace(limits, cosine=limits.cosine * 0.6, rare=limits.rare / 3)).select("a", "b"))
     label = cut(components(links.union(copies)))
     titled = cut(_title_links(feats, label).where("a != b"))
     to = lambda c: label.select(F.col("id").alias(c), F.col("first").alias(f"f{c}"))
