@@ -90,6 +90,31 @@ def ingest(spark, path, rows, parts):
     return out
 
 
+def test_store_reopened(spark, tmp_path):
+    """A second store on the path goes on where the first stopped; nothing is overwritten."""
+    cols = dict(id="news_id", url="url", title="title", body="body")
+    one = spark.createDataFrame([(1, "https://a.example/1", "Firm opens plant in Galbel", BODY, "X", 1)], NEWS)
+    two = spark.createDataFrame([(2, "https://b.example/2", None, BODY, "X", 1)], NEWS)
+    path = str(tmp_path / "store")
+    assert ArticleStore(spark, path).ingest(one, **cols).count() == 0
+    (tmp_path / "store" / "features-000001-broken").mkdir()  # a delivery that failed
+    again = ArticleStore(spark.newSession(), path)
+    assert [tuple(x) for x in again.ingest(two, **cols).collect()] == [(2, 1)]
+    assert len(ArticleStore(spark, path).parts()) == 2
+    assert [tuple(x) for x in ArticleStore(spark, path).articles().collect()] == [(2, 1)]
+
+
+def test_store_merges_articles_known_before(spark, tmp_path):
+    """A page that brings the text of another article makes both one; later rows find the lowest id."""
+    other = BODY.replace("617.1", "931.4").replace("22.0", "13.7").replace("784.3", "402.9").replace("163.11", "88.02")
+    cols = dict(id="news_id", url="url", title="title", body="body")
+    rows = [(1, "https://a.example/1", "Firm opens plant", BODY, "X", 1), (2, "https://b.example/2", None, other, "X", 1), (3, "https://a.example/1", None, other, "X", 1), (4, "https://c.example/4", None, other + " More.", "X", 1)]
+    store = ArticleStore(spark, str(tmp_path / "store"))
+    got = [sorted(tuple(x) for x in store.ingest(spark.createDataFrame([r], NEWS), **cols).collect()) for r in rows]
+    assert got == [[], [], [(3, 1)], [(4, 1)]]
+    assert sorted(tuple(x) for x in store.articles().collect()) == [(2, 1), (3, 1), (4, 1)]
+
+
 def test_page_key(spark):
     urls = ["https://www.A.example/x/?utm_source=q&utm_medium=r", "http://m.a.example/x#top", "https://A.EXAMPLE/x", "https://a.example/x?id=1&ref=home", "https://a.example/x?id=1", None, ""]
     got = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(page_key(F.col("u"))).collect()]

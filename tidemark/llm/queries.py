@@ -34,9 +34,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     news = table(spark, d, "news_raw").select("news_id", "url", "title", "body_snippet", "batch_no")
     store = ArticleStore(spark, _scratch(spark, "articles"))
     cols = {"id": "news_id", "url": "url", "title": "title", "body": "body_snippet"}
-    stock = store.ingest(news.where("batch_no is null or batch_no <= 0"), **cols)
-    later = store.ingest(news.where("batch_no > 0"), **cols)
-    return stock.union(later).select(F.col("first").alias("news_id_a"), F.col("id").alias("news_id_b"))
+    store.ingest(news.where("batch_no is null or batch_no <= 0"), **cols)
+    store.ingest(news.where("batch_no > 0"), **cols)
+    return store.articles().where("first < id").select(F.col("first").alias("news_id_a"), F.col("id").alias("news_id_b"))
 
 
 def _split(c):
