@@ -34,3 +34,10 @@ def test_a_shared_pair_of_figures_alone_is_no_link(spark):
     df = df.selectExpr("id", "if(train, 'train', 'test') as split", "title", "body")
     got = {x.id: x.first for x in cross_split_overlaps(df, id="id", split="split", train="train", title="title", body="body").collect()}
     assert got.get(3) == got.get(1) == 1 and got.get(2, 2) != 1
+
+
+def test_slots_hold_every_term():
+    r = np.random.default_rng(1)
+    known = np.unique(r.integers(1, 1 << 63, 20_000, dtype=np.int64).view(np.uint64))
+    w = TermWeights(known, np.arange(len(known), dtype=np.float32), -1.0)
+    assert (w.of(known) == np.arange(len(known))).all() and (w.of(known + np.uint64(1))[~np.isin(known + np.uint64(1), known)] == -1).all()

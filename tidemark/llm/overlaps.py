@@ -49,13 +49,39 @@ class TermWeights:
     known: np.ndarray
     idf: np.ndarray
     other: float
+    _table: tuple | None = None
+
+    def _slots(self) -> tuple[np.ndarray, np.ndarray, np.uint64, np.uint64, np.ndarray]:
+        """A table in which nearly every known term stands in one of two slots, and the places of those that don't."""
+        bits = max(4, int(4 * len(self.known)).bit_length())
+        mask, shift = np.uint64((1 << bits) - 1), np.uint64(bits)
+        place = np.full(1 << bits, -1, np.int64)
+        n = np.arange(len(self.known))
+        for slot in (self.known & mask, (self.known >> shift) & mask):
+            free = n[place[slot[n]] < 0]
+            place[slot[free]] = free
+            n = n[place[slot[n]] != n]
+        return np.where(place < 0, np.uint64(0), self.known[place]), np.where(place < 0, self.other, self.idf[place]), mask, shift, n
 
     def of(self, terms: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.full(len(terms), self.other)
-        distinct, use = np.unique(terms, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-        return np.where(self.known[at] == distinct, self.idf[at], self.other)[use]
+        if self._table is None:
+            self._table = self._slots()
+        held, idf, mask, shift, rest = self._table
+        one = terms & mask
+        out = np.where(held[one] == terms, idf[one], np.nan)
+        left = np.flatnonzero(np.isnan(out))
+        two = (terms[left] >> shift) & mask
+        out[left] = np.where(held[two] == terms[left], idf[two], np.nan)
+        left = left[np.isnan(out[left])]
+        at = np.searchsorted(self.known[rest], terms[left]) if len(rest) else np.zeros(len(left), np.int64)
+        at = np.minimum(at, max(len(rest) - 1, 0))
+        out[left] = np.where(self.known[rest][at] == terms[left], self.idf[rest][at], self.other) if len(rest) else self.other
+        return out
+
+    def __getstate__(self):
+        return {"known": self.known, "idf": self.idf, "other": self.other, "_table": None}
 
 
 _YEARS = W.split(pa.array([str(y) for y in range(1900, 2100)])).hash
@@ -79,7 +105,7 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             twin = W.mix(h[at] * np.uint64(3) + h[nxt])
         row, h, fig = np.concatenate([row, row[at]]), np.concatenate([h, twin]), np.concatenate([fig, np.zeros(len(at), bool)])
-    order = np.lexsort((h, row))
+    order = np.argsort((row.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))  # batches are far smaller than 65536 rows
     row, h, fig = row[order], h[order], fig[order]
     new = np.ones(len(h), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
@@ -126,10 +152,11 @@ def _postings(batch_texts: pa.Array, weights: TermWeights, limits: CosineLimits)
     figures = np.bincount(row[number], minlength=n)
     signature = np.zeros(n, np.uint64)
     np.bitwise_or.at(signature, row[number], np.uint64(1) << (h[number] >> np.uint64(58)))
-    w = weights.of(h) ** limits.power
-    order = np.lexsort((h, -w, row))
-    row, h, w = row[order], h[order], w[order]
-    energy = w * w
+    w = weights.of(h).astype(np.float32)
+    # One key for (row, weight from heavy to light, term): the bits of a positive number rise with it.
+    order = np.argsort((row.astype(np.uint64) << np.uint64(48)) | (np.uint64(0xFFFFFFFF) - w.view(np.uint32).astype(np.uint64)) << np.uint64(16) | (h >> np.uint64(48)))
+    row, h, w = row[order], h[order], w[order].astype(np.float64)
+    energy = w ** (2 * limits.power)
     total = np.bincount(row, weights=energy, minlength=n)
     run = np.cumsum(energy)
     first = np.searchsorted(row, np.arange(n))
@@ -219,8 +246,7 @@ def cross_split_overlaps(
     """
     rows = records.where(F.col(id).isNotNull() & F.col(split).isNotNull()).select(F.col(id).cast("bigint").alias("id"), (F.col(split) == train).alias("train"), F.col(title).cast("string").alias("title"), F.col(body).cast("string").alias("body"))
     spark = records.sparkSession
-    words = F.trim(F.regexp_replace(F.lower("body"), r"[^\p{L}\p{N}]+", " "))
-    feats = written(title_features(rows.select("id", "title", F.when(words != "", F.xxhash64(words)).alias("body"))))
+    feats = written(title_features(rows.select("id", "title", F.when(F.trim("body") != "", F.xxhash64("body")).alias("body"))))
     weights = spark.sparkContext.broadcast(term_weights(rows, "body", limits))
     # Of exact copies in a part, the first stands for all.
     copies = _stars(feats.select("id", "body"), "body")
