@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,6 +30,7 @@ def local_session(name: str = "tidemark", cpus: int | str = "*", partitions: int
 
 
 _SHIPPED: set[str] = set()
+_TEMPORARY: dict[str, str] = {}  # folder of each local session
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,14 +51,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset and the session is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rsplit("/", 1)[0]
-    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if spark.sparkContext.applicationId not in _TEMPORARY:
+        _TEMPORARY[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return _TEMPORARY[spark.sparkContext.applicationId]
 
 
 def release(spark: SparkSession) -> None:
@@ -75,6 +81,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder: for Python stages, which an eager checkpoint would run twice."""
+    ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
