@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from tidemark.llm import words as W
+from tidemark.llm.nearest import nearest_in_time
 from tidemark.llm.overlaps import CosineLimits, TermWeights, cosine_candidates, cross_split_overlaps, term_weights
 
 
@@ -41,3 +42,14 @@ def test_slots_hold_every_term():
     known = np.unique(r.integers(1, 1 << 63, 20_000, dtype=np.int64).view(np.uint64))
     w = TermWeights(known, np.arange(len(known), dtype=np.float32), -1.0)
     assert (w.of(known) == np.arange(len(known))).all() and (w.of(known + np.uint64(1))[~np.isin(known + np.uint64(1), known)] == -1).all()
+
+
+def test_nearest_with_a_hot_entity_and_a_larger_right_table(spark):
+    """Blocks cut into pieces give the same pairs as uncut ones."""
+    r = np.random.default_rng(3)
+    at = lambda n: [int(x) for x in r.integers(0, 40 * 86400, n)]
+    left = spark.createDataFrame([(i, "hot" if i % 4 else f"e{i % 9}", t) for i, t in enumerate(at(400))], "id long, e string, t long").selectExpr("id", "e", "timestamp_seconds(t) as t")
+    right = spark.createDataFrame([(i, "hot" if i % 4 else f"e{i % 9}", t) for i, t in enumerate(at(6000))], "id long, e string, t long").selectExpr("id", "e", "timestamp_seconds(t) as t")
+    args = dict(left_id="id", left_entity="e", left_time="t", right_id="rid", right_entity="e", right_time="t", tolerance_seconds=7200)
+    run = lambda n: sorted(tuple(x) for x in nearest_in_time(left, right.withColumnRenamed("id", "rid"), rows_per_group=n, **args).collect())
+    assert run(50) == run(1_000_000) and len(run(50)) > 300

@@ -1,7 +1,8 @@
 """Matching records by nearest time within a tolerance.
 
 Both tables are hash-partitioned by (entity, block of time); right rows near a block's edge are
-copied to the next block, so every block is self-contained.  Each Arrow group is handed to DuckDB,
+copied to the next block, so every block is self-contained.  A block that holds too many rows is cut
+into shorter ones in the same way.  Each Arrow group is handed to DuckDB,
 which runs a backward and a forward ASOF join; the nearer candidate in tolerance is kept.
 """
 
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 _SQL = """
 WITH b AS (SELECT l.id, r.rid, l.us - r.us AS gap FROM l ASOF JOIN r ON l.g = r.g AND l.us >= r.us),
      f AS (SELECT l.id, r.rid, r.us - l.us AS gap FROM l ASOF JOIN r ON l.g = r.g AND l.us <= r.us)
@@ -71,10 +74,21 @@ def nearest_in_time(
     )
     own = F.floor(F.col("us") / block)
     inside = F.col("us") - own * F.lit(block)
+    l = l.withColumn("b", own)
     r = r.withColumn("b", F.explode(F.array_compact(F.array(own, F.when(inside <= tolerance, own - 1), F.when(inside >= block - tolerance, own + 1)))))
-    rows = l.select("id", "e", "us", own.alias("b"), F.lit(True).alias("left_side")).union(r.select("id", "e", "us", "b", F.lit(False)))
-    groups = max(1, -(-left.count() // rows_per_group))
-    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups)
-    rows = rows.select(F.xxhash64("e", "b").alias("g"), "us", "id", "left_side").withColumn("part", F.pmod("g", F.lit(parts)))
+    # Blocks with too many rows: at most one for every ``rows_per_group`` rows of the tables.
+    size = cut(l.select("e", "b").union(r.select("e", "b")).groupBy("e", "b").agg(F.count(F.lit(1)).alias("n")))
+    total = size.agg(F.sum("n")).first()[0] or 0
+    hot = size.where(F.col("n") > rows_per_group).select("e", "b", F.ceil(F.col("n") / rows_per_group).alias("k"))
+    hot = F.broadcast(hot) if total <= 100_000 * rows_per_group else hot
+    # Cut into k pieces of equal length; a right row goes to every piece it may be near to.
+    at = F.floor((F.col("us") - F.col("b") * F.lit(block)) * F.col("k") / block)
+    near = lambda d: F.floor((F.col("us") - F.col("b") * F.lit(block) + F.lit(d)) * F.col("k") / block)
+    split = lambda d: d.join(hot, ["e", "b"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    lk = split(l).select("id", "e", "us", "b", at.alias("piece"), F.lit(True).alias("left_side"))
+    rk = split(r).select("id", "e", "us", "b", F.explode(F.sequence(F.greatest(F.lit(0), near(-tolerance)), F.least(F.col("k") - 1, near(tolerance)))).alias("piece"), F.lit(False))
+    rows = lk.union(rk)
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows_per_group))
+    rows = rows.select(F.xxhash64("e", "b", "piece").alias("g"), "us", "id", "left_side").withColumn("part", F.pmod("g", F.lit(parts)))
     out = rows.groupBy("part").applyInArrow(_match(tolerance), "id bigint, rid bigint")
     return out.select(F.col("id").alias(left_id), F.col("rid").alias(right_id))
