@@ -424,3 +424,11 @@ def test_no_seed_stands_in_the_documents(data):
             seeds |= fours(words(part))
     for t in pq.read_table(f"{data}/documents.parquet")["text"].to_pylist():
         assert not seeds & fours(words(t or ""))
+
+
+def test_one_word_and_short_names(spark):
+    companies = spark.createDataFrame([("NVX", "Novartix AG"), ("QB", "Qb Group"), ("TWO", "Talmor Besk Mining AG"), (None, "Ghost"), ("NUL", None)], "ticker string, company string")
+    listed = spark.createDataFrame([("NVX", "the novartix house"), ("TWO", None), (None, "novar")], "ticker string, alias string").select("alias", "ticker")
+    texts = [(1, "Novartix", True), (2, "novartix ag", True), (3, "NVX", True), (4, "Shares of Novartix fall", False), (5, "qb", True), (6, "QB rises", False), (7, "Talmor Beskk Mining", True), (8, "the novartixx house", True), (9, "Novarelle", True), (10, "NUL", True), (11, None, True), (12, "", False)]
+    got = {x.id: x.ticker for x in map_names(spark.createDataFrame(texts, "id long, text string, whole boolean"), companies, listed).collect()}
+    assert got == {1: "NVX", 2: "NVX", 3: "NVX", 4: "NVX", 5: "QB", 6: "QB", 7: "TWO", 8: "NVX", 9: "NONE", 10: "NUL", 11: "NONE", 12: "NONE"}

@@ -27,11 +27,13 @@ LEGAL_FORMS = ("ag", "sa", "plc", "ltd", "inc", "corp", "group", "holdings", "co
 
 @dataclass(frozen=True)
 class NameLimits:
-    """jaccard: least trigram similarity of two words; edits: most letters apart; short: letters of a shortened first word."""
+    """jaccard: least trigram similarity of two words; edits: most letters apart; short: letters of a shortened first word;
+    name: least trigram similarity of a whole text to a whole listed name or alias."""
 
     jaccard: float = 0.28
     edits: int = 3
     short: int = 5
+    name: float = 0.75
 
 
 def grams(word: Column, n: int = 3) -> Column:
@@ -58,6 +60,8 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     pairs = side(0, "l").join(side(1, "r"), "t").where((F.col("nr") >= F.col("nl") * threshold) & (F.col("nl") >= F.col("nr") * threshold))
     # Position filter: at the first common token, what is left must still be enough.
     pairs = pairs.groupBy("l", "r").agg(F.max((most + F.lit(0)) >= need).alias("can")).where("can").select("l", "r")
+    # Verifying costs far more than the pairs' few bytes tell: dealt evenly over all tasks.
+    pairs = pairs.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l", "r")
     full = pairs.join(left.select(F.col("key").alias("l"), F.col("tokens").alias("tl")), "l").join(right.select(F.col("key").alias("r"), F.col("tokens").alias("tr")), "r")
     both = F.size(F.array_intersect("tl", "tr"))
     full = full.withColumn("jaccard", both / (F.size("tl") + F.size("tr") - both))
@@ -93,25 +97,29 @@ def map_names(records: DataFrame, companies: DataFrame, listed: DataFrame, *, li
 
     ``records``: ``id``, ``text`` and ``whole`` (the text is a name and nothing else); ``companies``: ``ticker``,
     ``company``; ``listed``: ``alias``, ``ticker`` of reviewed aliases.  A ticker symbol counts only as
-    written in capitals on its own, or as a listed alias that is the whole text.  Of several names in
+    written in capitals on its own, or as a listed alias that is the whole text.  A company of one word is named by
+    that word, as listed; longer names also by their words with slips or shortened; a whole text also by its
+    likeness to a whole name or alias.  Of several names in
     one text the closest counts, then the one that comes first, then the lowest ticker.  Null or empty texts map to ``NONE``; repeated
     records are each mapped, provided ids are unique per ``whole``; empty lists map everything to ``NONE``.
     """
     records = cut(records.select(F.xxhash64("id", "whole").alias("rid"), "id", "whole", "text"))
     words = written(word_lists(records, "rid", "text").withColumnRenamed("id", "rid"))
     firms = companies.where("ticker is not null and company is not null").select("ticker", F.col("company").alias("text"))
-    firms = written(word_lists(firms, "ticker", "text").select(F.col("id").alias("ticker"), F.filter("words", lambda x: ~x.isin(*LEGAL_FORMS)).alias("w")).where("size(w) >= 2"))
-    firms = firms.select("ticker", F.col("w")[0].alias("w1"), F.col("w")[1].alias("w2"), F.get("w", F.lit(2)).alias("sector"))
+    firms = written(word_lists(firms, "ticker", "text").select(F.col("id").alias("ticker"), F.filter("words", lambda x: ~x.isin(*LEGAL_FORMS)).alias("w")).where("size(w) >= 1"))
+    all_names = firms.select("ticker", F.array_join("w", " ").alias("name"))
+    single = firms.where("size(w) = 1").select("ticker", F.col("w")[0].alias("w1"))
+    firms = firms.where("size(w) >= 2").select("ticker", F.col("w")[0].alias("w1"), F.col("w")[1].alias("w2"), F.get("w", F.lit(2)).alias("sector"))
 
     # 1. A listed alias or company name that is the whole text, or a ticker symbol.
     squeeze = lambda c: F.array_join(F.filter(c, lambda x: ~x.isin(*LEGAL_FORMS)), " ")
     known = listed.where("ticker is not null and alias is not null").select(F.col("ticker"), F.col("alias").alias("text"))
-    known = word_lists(known.withColumn("k", F.concat_ws("\u0001", "ticker", "text")), "k", "text").select(F.substring_index("id", "\u0001", 1).alias("ticker"), squeeze("words").alias("name"))
+    known = word_lists(known.withColumn("k", F.concat_ws("\u0001", "ticker", "text")), "k", "text").select(F.substring_index("id", "\u0001", 1).alias("ticker"), squeeze("words").alias("name")).union(all_names)
     known = known.where("name <> ''").groupBy("name").agg(F.min("ticker").alias("ticker"), F.max("ticker").alias("other")).where("ticker = other").drop("other")
     whole = words.join(records.where("whole").select("rid"), "rid").select("rid", squeeze("words").alias("name"))
     exact = whole.join(known, "name").select("rid", "ticker", F.lit(0.0).alias("cost"), F.lit(0).alias("pos"))
     symbols = records.select("rid", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9])([A-Z][A-Z0-9]{1,7})(?![A-Za-z0-9])"), F.lit(1))).alias("pos", "ticker"))
-    symbols = symbols.join(firms.select("ticker"), "ticker").select("rid", "ticker", F.lit(0.0).alias("cost"), "pos")
+    symbols = symbols.join(companies.where("ticker is not null").select("ticker").distinct(), "ticker").select("rid", "ticker", F.lit(0.0).alias("cost"), "pos")
 
     # 2. Words of the texts that are, or resemble, words of the names.
     forms = firms.select(
@@ -131,6 +139,8 @@ def map_names(records: DataFrame, companies: DataFrame, listed: DataFrame, *, li
     spots = words.select("rid", F.posexplode("words").alias("pos", "token"), "words").select(
         "rid", "pos", "token", F.get("words", F.col("pos") - 1).alias("before"), F.get("words", F.col("pos") + 1).alias("next")
     )
+    # A one-word name is that word, as it stands; short words and those with figures are never taken for a slip of another.
+    lone = spots.join(single, F.col("token") == F.col("w1")).select("rid", "ticker", F.lit(0.3).alias("cost"), "pos")
     spots = cut(spots.where((F.length("token") >= 4) & F.col("token").rlike(r"^\D+$")))
     right = forms.select(F.col("form").alias("key")).distinct()
     tokens = spots.select(F.col("token").alias("key")).distinct()
@@ -159,5 +169,12 @@ def map_names(records: DataFrame, companies: DataFrame, listed: DataFrame, *, li
     named = named.join(lines, "next", "left").withColumn("fits", fits).where(F.col("fits") | F.col("a_line").isNull())
     named = named.select("rid", "ticker", (F.col("cost") - F.when(F.col("fits"), F.lit(0.9)).otherwise(0.0)).alias("cost"), "pos")
 
-    best = exact.withColumn("cost", F.lit(-9.0)).union(symbols.withColumn("cost", F.lit(-5.0))).union(named).groupBy("rid").agg(F.min(F.struct("cost", "pos", "ticker")).alias("b"))
+    # 4. A whole text that resembles a whole name or alias, where nothing else was found: the closest by Jaccard similarity.
+    decided = exact.select("rid").union(symbols.select("rid")).union(named.select("rid")).union(lone.select("rid")).distinct()
+    left = cut(whole.join(decided, "rid", "left_anti").where("length(name) >= 4"))
+    open_names = cut(left.select(F.col("name").alias("key")).distinct().withColumn("tokens", grams(F.col("key"))))
+    alike = similar_sets(open_names, cut(known.select(F.col("name").alias("key"), grams(F.col("name")).alias("tokens"))), limits.name)
+    alike = left.join(alike, F.col("name") == F.col("l")).join(known.select(F.col("name").alias("r"), "ticker"), "r").select("rid", "ticker", (5 - F.col("jaccard")).alias("cost"), F.lit(0).alias("pos"))
+
+    best = exact.withColumn("cost", F.lit(-9.0)).union(symbols.withColumn("cost", F.lit(-5.0))).union(named).union(lone).union(alike).groupBy("rid").agg(F.min(F.struct("cost", "pos", "ticker")).alias("b"))
     return records.join(best, "rid", "left").select("id", "whole", F.coalesce("b.ticker", F.lit("NONE")).alias("ticker"))
