@@ -79,9 +79,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder: for Python stages, which an eager checkpoint would run twice."""
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` as a table written to the shared folder: for Python stages, which an eager checkpoint would run twice.
+
+    In a ``folder`` of its own a table goes when the caller does away with it (:func:`remove`)."""
     ship(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex[:12]}"
+    path = f"{folder or shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
