@@ -353,12 +353,17 @@ SELECT news_id, CASE WHEN rn <= n * 0.6 THEN 'train' WHEN rn <= n * 0.75 THEN 'c
 def temporal_split(spark: SparkSession, d: str) -> DataFrame:
     """60/15/25 split in order of publication.
 
-    The cut instants come from one grouped count per second; only the ties at a cut are ranked.
+    Counts per day tell the days in which the cuts fall; only the rows of those two days are ranked, by counts per instant.
     """
-    x = news(spark, d).select("news_id", "published_at")
-    per = x.groupBy("published_at").agg(F.count(F.lit(1)).alias("k"))
-    upto = per.withColumn("before", F.sum("k").over(Window.orderBy("published_at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k"))
-    n = F.sum("k").over(Window.partitionBy(F.lit(1)))
-    place = upto.withColumn("n", n)
-    rn = F.col("before") + F.row_number().over(Window.partitionBy("published_at").orderBy("news_id"))
-    return x.join(place, "published_at").select("news_id", F.when(rn <= F.col("n") * 0.6, "train").when(rn <= F.col("n") * 0.75, "calibration").otherwise("test").alias("role"))
+    x = news(spark, d).select("news_id", "published_at", "pub_date")
+    per = x.groupBy("pub_date").agg(F.count(F.lit(1)).alias("k"))
+    days = per.select("pub_date", "k", (F.sum("k").over(Window.orderBy("pub_date").rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy()).alias("n"))  # one row a day
+    cut = lambda q: (F.col("before") < F.floor(F.col("n") * q)) & (F.col("before") + F.col("k") > F.floor(F.col("n") * q))
+    placed = x.join(days.withColumn("torn", cut(0.6) | cut(0.75)), "pub_date")
+    role = lambda rn: F.when(rn <= F.col("n") * 0.6, "train").when(rn <= F.col("n") * 0.75, "calibration").otherwise("test").alias("role")
+    whole = placed.where("not torn").select("news_id", role(F.col("before") + F.col("k")))
+    torn = placed.where("torn")
+    upto = torn.groupBy("pub_date", "published_at").agg(F.count(F.lit(1)).alias("m"))
+    upto = upto.select("published_at", (F.sum("m").over(Window.partitionBy("pub_date").orderBy("published_at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("earlier"))
+    rn = F.col("before") + F.col("earlier") + F.row_number().over(Window.partitionBy("published_at").orderBy("news_id"))
+    return whole.union(torn.join(upto, "published_at").select("news_id", role(rn)))

@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import entities as E
 from tidemark.operators import guards as G
 from tidemark.operators import scoring as M
 from tidemark.operators import series as S
+from tidemark.operators import textual as T
 from tidemark.operators.calendars import as_of, day_map
 from tidemark.plans.articles import _LABEL, _labelled
 from tidemark.plans.common import DAYMAP_SQL, MARKET_SQL, NEWS_SQL, PANEL_SQL, RETURNS_SQL, day, news, panel, r, returns, sql_day, sql_r
@@ -717,3 +719,140 @@ def watchlist_changes(spark: SparkSession, d: str) -> DataFrame:
     """A watchlist after a stricter rule: who stays, who goes."""
     c = table(spark, d, "aliases").where("ticker is not null").groupBy("ticker").agg(F.count("alias").alias("n")).where("n >= 3")
     return c.select("ticker", (F.col("n") >= 6).alias("kept"), (F.col("n") < 6).alias("removed"))
+
+
+# Names in texts
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Listed aliases and company names in the articles; an alias of one word may be a common word and is ambiguous."""
+    listed = table(spark, d, "aliases").where("ticker is not null").select("alias", "ticker")
+    names = listed.union(table(spark, d, "universe").select("company", "ticker")).withColumn("ambiguous", F.size(E.words(F.col("alias"))) == 1)
+    texts = table(spark, d, "news_raw").select("news_id", T.article_text(F.col("title"), F.col("body_snippet")).alias("text"))
+    return E.entity_mentions(texts, names, id="news_id", text="text")
+
+
+@query()
+def entity_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention of a listed name in an article (greedy by length, which SQL can't say; tested against brute force)."""
+    return _mentions(spark, d)
+
+
+@query()
+def ticker_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Ticker of each article: its surest mention, else the one it was fetched for."""
+    best = E.best_mention(_mentions(spark, d), "news_id")
+    n = table(spark, d, "news_raw").select("news_id", F.col("ticker").alias("fetched_for"))
+    return n.join(best, "news_id", "left").select("news_id", F.coalesce("ticker", "fetched_for").alias("ticker"), "confidence")
+
+
+@query()
+def entity_prf(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions against the tickers the articles were fetched for."""
+    gold = table(spark, d, "news_raw").where("ticker is not null").select("news_id", "ticker")
+    found = _mentions(spark, d).join(gold.select("news_id"), "news_id", "left_semi")
+    return E.set_scores(gold, found, "news_id").select("tp", "fp", "fn", r("precision").alias("precision"), r("recall").alias("recall"), r("f1").alias("f1"))
+
+
+_TAGS = "regexp_replace(" * 5 + "text" + "".join(f", '(?is)<{t}\\b.*?</{t}>', ' ', 'g')" for t in ("script", "style", "nav", "header", "footer"))
+
+
+@query(rf"SELECT doc_id, md5(substring(trim(regexp_replace(regexp_replace({_TAGS}, '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g')), 1, 600)) AS snippet FROM documents WHERE text IS NOT NULL")
+def html_snippet(spark: SparkSession, d: str) -> DataFrame:
+    """Lead of each document's visible text, as a digest (600 characters are the feature)."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.visible_text(F.col("text"))).alias("snippet"))
+
+
+@query(
+    r"""WITH s AS (SELECT news_id, list_distinct(regexp_extract_all(lower(title), '[a-z]+')) AS q, string_split(regexp_replace(body_snippet, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM news_raw WHERE title <> '' AND body_snippet <> ''),
+p AS (SELECT news_id, q, unnest(parts) AS part, generate_subscripts(parts, 1) AS spot FROM s), h AS (SELECT news_id, spot, len(list_intersect(q, list_distinct(regexp_extract_all(lower(part), '[a-z]+')))) AS hits FROM p WHERE length(part) > 40),
+k AS (SELECT *, row_number() OVER (PARTITION BY news_id ORDER BY hits DESC, spot) AS place FROM h) SELECT news_id, CAST(place AS INT) AS place, CAST(spot AS INT) AS sentence, CAST(hits AS INT) AS hits FROM k WHERE place <= 2"""
+)
+def top_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The two sentences of each article that hold most words of its title (a top-k report, found within the row)."""
+    n = table(spark, d, "news_raw").where("title <> '' and body_snippet <> ''")
+    low = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1)))
+    parts = F.split(F.regexp_replace("body_snippet", r"([.!?])\s+", "$1\u0001"), "\u0001")
+    x = n.select("news_id", low(F.col("title")).alias("q"), F.transform(parts, lambda s, i: F.struct(s.alias("s"), (i + 1).alias("at"))).alias("parts"))
+    x = x.select("news_id", "q", F.filter("parts", lambda p: F.length(p["s"]) > 40).alias("parts"))
+    scored = F.array_sort(F.transform("parts", lambda p: F.struct((-F.size(F.array_intersect("q", low(p["s"])))).alias("o"), p["at"].alias("at"))))
+    return x.select("news_id", F.posexplode(F.slice(scored, 1, 2)).alias("place", "p")).select("news_id", (F.col("place") + 1).alias("place"), F.col("p.at").alias("sentence"), (-F.col("p.o")).alias("hits"))
+
+
+# Work lists, explanations, further feature sets
+
+
+@query(
+    f"""WITH {NEWS_SQL}, q AS (SELECT unnest([1, 2, 3, 4]) AS quarter), w AS (SELECT ticker, quarter FROM universe, q WHERE ticker IS NOT NULL)
+SELECT ticker, CAST(quarter AS INT) AS quarter FROM w WHERE NOT EXISTS (SELECT 1 FROM news n WHERE n.ticker = w.ticker AND quarter(n.pub_date) = w.quarter)"""
+)
+def pending_work(spark: SparkSession, d: str) -> DataFrame:
+    """Quarters of each listed ticker still to be fetched: those without an article (what a resumed ingest works off)."""
+    w = table(spark, d, "universe").where("ticker is not null").select("ticker", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("quarter"))
+    return w.join(news(spark, d).select("ticker", F.quarter("pub_date").alias("quarter")), ["ticker", "quarter"], "left_anti")
+
+
+_MOVE = "mv AS (SELECT ticker, date FROM (SELECT ticker, date, round(abs(ret), 12) AS a, pos FROM rets WHERE ret IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY a DESC, pos) = 1)"
+
+
+@query(
+    f"""WITH {RETURNS_SQL}, {NEWS_SQL}, {_MOVE}, k AS (SELECT m.ticker, m.date, n.news_id, trim(coalesce(n.title, '') || ' ' || coalesce(n.body_snippet, '')) AS text, row_number() OVER (PARTITION BY m.ticker ORDER BY abs(date_diff('day', n.pub_date, m.date)), n.news_id) AS k
+ FROM mv m JOIN news n ON n.ticker = m.ticker AND n.pub_date BETWEEN m.date - INTERVAL 1 DAY AND m.date + INTERVAL 1 DAY)
+SELECT ticker, {sql_day('date')} AS move_day, CAST(k AS INT) AS cite, news_id, '[' || k || '] ' || substring(text, 1, 220) AS quote FROM k WHERE k <= 6"""
+)
+def cited_explanation(spark: SparkSession, d: str) -> DataFrame:
+    """Up to six quotes, each with its number, from the articles around every ticker's largest move."""
+    m = returns(spark, d).where("ret is not null").withColumn("a", F.round(F.abs("ret"), 12)).groupBy("ticker").agg(F.max_by("date", F.struct("a", -F.datediff("date", F.lit("1970-01-01")))).alias("date"))
+    days = m.select("ticker", "date", F.explode(F.sequence(F.date_sub("date", 1), F.date_add("date", 1))).alias("pub_date"))
+    n = news(spark, d).select("news_id", "ticker", "pub_date", T.article_text(F.col("title"), F.col("body_snippet")).alias("text"))
+    # The first six by an array of bounded length per ticker and day, then over its three days.
+    x = days.join(n, ["ticker", "pub_date"]).select("ticker", "date", F.struct(F.abs(F.datediff("pub_date", "date")).alias("far"), "news_id", F.substring("text", 1, 220).alias("text")).alias("s"))
+    top = x.withColumn("k", F.row_number().over(Window.partitionBy("ticker").orderBy("s.far", "s.news_id"))).where("k <= 6")  # articles of three days
+    return top.select("ticker", day("date").alias("move_day"), F.col("k").alias("cite"), "s.news_id", F.concat(F.lit("["), F.col("k").cast("string"), F.lit("] "), F.col("s.text")).alias("quote"))
+
+
+@query(
+    f"""WITH {_LEVEL}, v AS (SELECT date, m * m AS r2 FROM index_line)
+SELECT {sql_day('date')} AS day, {sql_r('r2', 8)} AS rv_1d, {sql_r('CASE WHEN count(r2) OVER w5 = 5 THEN avg(r2) OVER w5 END', 8)} AS rv_5d, {sql_r('CASE WHEN count(r2) OVER w22 = 22 THEN avg(r2) OVER w22 END', 8)} AS rv_22d,
+ {', '.join(f"CAST(isodow(date) = {k} AS INT) AS {n}" for k, n in enumerate(('mon', 'tue', 'wed', 'thu', 'fri'), 1))} FROM v WINDOW w5 AS (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w22 AS (ORDER BY date ROWS BETWEEN 21 PRECEDING AND CURRENT ROW)"""
+)
+def market_leg_features(spark: SparkSession, d: str) -> DataFrame:
+    """The market's legs of the variance regression, with the weekday as indicators: one row a date."""
+    line = Window.orderBy("date")
+    v = market_index(spark, d).select("date", (F.col("m") * F.col("m")).alias("r2"))
+    leg = lambda n: r(S.full(F.avg("r2"), "r2", n, line.rowsBetween(1 - n, 0)), 8).alias(f"rv_{n}d")
+    return v.select(day("date").alias("day"), r("r2", 8).alias("rv_1d"), leg(5), leg(22), *[(F.weekday("date") == k).cast("int").alias(n) for k, n in enumerate(("mon", "tue", "wed", "thu", "fri"))])
+
+
+@query(
+    f"""WITH {RETURNS_SQL}, t AS (SELECT ticker, date, lret, CASE WHEN count(lret) OVER w5 = 5 THEN stddev_samp(lret) OVER w5 END AS vol5, CASE WHEN count(lret) OVER w22 = 22 THEN stddev_samp(lret) OVER w22 END AS vol22, CASE WHEN count(lret) OVER w252 >= 60 THEN quantile_cont(lret, 0.05) OVER w252 END AS q05,
+ close / max(close) OVER w22 - 1 AS drawdown, CASE WHEN open > 0 THEN open / lag(close) OVER w - 1 END AS gap, CASE WHEN high > 0 AND low > 0 THEN ln(high / low) END AS span, CASE WHEN count(volume) OVER w22 = 22 AND avg(volume) OVER w22 > 0 THEN volume / avg(volume) OVER w22 END AS turnover
+ FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY date), w5 AS ({W_SQL} 4 PRECEDING AND CURRENT ROW), w22 AS ({W_SQL} 21 PRECEDING AND CURRENT ROW), w252 AS ({W_SQL} 251 PRECEDING AND CURRENT ROW))
+SELECT ticker, {sql_day('date')} AS day, {', '.join(f"{sql_r(c)} AS {c}" for c in ('lret', 'vol5', 'vol22', 'q05', 'drawdown', 'gap', 'span'))}, {sql_r('turnover', 4)} AS turnover FROM t WHERE vol22 IS NOT NULL AND q05 IS NOT NULL"""
+)
+def tail_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features of the lower tail, for the days that have their whole past: return, volatilities, trailing quantile, drawdown, gap, span, turnover."""
+    b = S.back(22)
+    ok = (F.count("volume").over(b) == 22) & (F.avg("volume").over(b) > 0)
+    t = returns(spark, d).select(
+        "ticker", "date", "lret", S.trailing_vol("lret", 5).alias("vol5"), S.trailing_vol("lret", 22).alias("vol22"), F.when(F.count("lret").over(S.back(252)) >= 60, F.percentile("lret", 0.05).over(S.back(252))).alias("q05"),
+        (F.col("close") / F.max("close").over(b) - 1).alias("drawdown"), F.when(F.col("open") > 0, F.col("open") / F.lag("close").over(S.line()) - 1).alias("gap"), F.when((F.col("high") > 0) & (F.col("low") > 0), F.log(F.col("high") / F.col("low"))).alias("span"), F.when(ok, F.col("volume") / F.avg("volume").over(b)).alias("turnover"),
+    )
+    return t.where("vol22 is not null and q05 is not null").select("ticker", day("date").alias("day"), *[r(c).alias(c) for c in ("lret", "vol5", "vol22", "q05", "drawdown", "gap", "span")], r("turnover", 4).alias("turnover"))
+
+
+@query(
+    f"""WITH {PANEL_SQL}, cal AS (SELECT date, ntile(6) OVER (ORDER BY date) AS fold FROM (SELECT DISTINCT date FROM panel)), x AS (SELECT p.ticker, p.date, c.fold, round(p.f, 4) AS f FROM (SELECT ticker, date, lead(close, 5) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS f FROM panel) p JOIN cal c ON c.date = p.date WHERE f IS NOT NULL),
+cut AS (SELECT g.fold, quantile_cont(x.f, 0.7) AS hi, quantile_cont(x.f, 0.3) AS lo FROM (SELECT DISTINCT fold FROM cal) g JOIN x ON x.fold < g.fold GROUP BY g.fold)
+SELECT CAST(x.fold AS INT) AS fold, count(*) AS n, count(*) FILTER (f >= hi) AS positive, count(*) FILTER (f <= lo) AS negative, count(*) FILTER (f < hi AND f > lo) AS abstained FROM x JOIN cut ON cut.fold = x.fold GROUP BY x.fold"""
+)
+def fold_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of five-day returns by the 0.7 and 0.3 quantiles of strictly earlier folds; what lies between abstains."""
+    p = panel(spark, d)
+    cal = p.select("date").distinct().select("date", F.ntile(6).over(Window.orderBy("date")).alias("fold"))
+    x = p.select("ticker", "date", F.round(F.lead("close", 5).over(S.line()) / F.col("close") - 1, 4).alias("f")).where("f is not null").join(F.broadcast(cal), "date")  # one row a date
+    # Counts per value first: what a quantile sees is bounded by the number of different rounded returns.
+    seen = x.groupBy("fold", "f").agg(F.count(F.lit(1)).alias("n")).select("f", "n", F.explode(F.sequence(F.col("fold") + 1, F.lit(7))).alias("fold")).where("fold <= 6").groupBy("fold", "f").agg(F.sum("n").alias("n"))
+    cut = seen.groupBy("fold").agg(F.expr("percentile(f, 0.7, n)").alias("hi"), F.expr("percentile(f, 0.3, n)").alias("lo"))
+    f = F.col("f")
+    return x.join(F.broadcast(cut), "fold").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(f >= F.col("hi")).alias("positive"), F.count_if(f <= F.col("lo")).alias("negative"), F.count_if((f < F.col("hi")) & (f > F.col("lo"))).alias("abstained"))
