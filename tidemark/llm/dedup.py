@@ -50,8 +50,8 @@ def page_key(url: Column) -> Column:
 
 # A signature: one bit for each figure (several may share one), and above them how many figures there are.
 _BITS, _MOST = 58, 63
-# Figures and chunks only back up a shared 64-bit key, so 32 bits of their hashes are enough.
-_FEATURES = "id bigint, page bigint, title bigint, title_text string, halves array<bigint>, body bigint, bytes int, figures array<int>, chunks array<int>, keys array<bigint>, sig bigint, n_fig int"
+# Figures (each once, the longest first) and chunks are known by 31 bits of their hashes; ``places`` has one of 64 bits for each chunk.
+_FEATURES = "id bigint, page bigint, title bigint, title_text string, halves array<bigint>, body bigint, bytes int, figures array<int>, chunks array<int>, sig bigint, places bigint"
 
 
 @dataclass
@@ -113,31 +113,25 @@ def _features(divisor: int):
             chunk = W.runs(h, begin)
             length = np.minimum(np.add.reduceat(size, begin), 255) if len(begin) else np.zeros(0, np.int64)
             figure = number & ~np.isin(h, years)
-            telling = np.logical_or.reduceat(figure & (size >= 3), begin) if len(begin) else np.zeros(0, bool)
             chunk = (chunk & ~np.uint64(0xFF)) | length.astype(np.uint64)
             crow = row[begin]
-            # A body without telling figures is found by its longest chunks instead.
-            has = np.zeros(n, bool)
-            has[crow[telling]] = True
-            key = (telling | ~has[crow]) & (length >= 8)
-            # Two figures in succession are a key too: it outlives any rewording between them.
-            fig, frow = h[figure], row[figure]
-            with np.errstate(over="ignore"):
-                twin = W.mix(fig[:-1] * np.uint64(3) + fig[1:])[frow[:-1] == frow[1:]] if len(fig) > 1 else np.zeros(0, np.uint64)
-            trow = frow[:-1][frow[:-1] == frow[1:]] if len(fig) > 1 else np.zeros(0, np.int64)
-            krow = np.concatenate([crow[key], trow])
-            order = np.argsort(krow, kind="stable")
-            kept, krow = np.concatenate([chunk[key], twin])[order], krow[order]
+            short = lambda v: (v & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            parts = short(chunk)
+            places = np.zeros(n, np.uint64)
+            np.bitwise_or.at(places, crow, np.uint64(1) << ((parts >> 8) & 63).astype(np.uint64))
+            # The figures of a body, each once, the longest first: they are the rarest.
+            fig, frow, fsize = short(h[figure]), row[figure], size[figure]
+            order = np.lexsort((fig, -fsize, frow))
+            fig, frow = fig[order], frow[order]
+            once = np.concatenate([[True], (fig[1:] != fig[:-1]) | (frow[1:] != frow[:-1])]) if len(fig) else np.zeros(0, bool)
+            fig, frow = fig[once], frow[once]
             # Signature of a body's figures: pairs with too few bits in common have too few figures in common.
-            each = np.unique(np.stack([frow.astype(np.uint64), fig]), axis=1) if len(fig) else np.zeros((2, 0), np.uint64)
             bits = np.zeros(n, np.uint64)
-            np.bitwise_or.at(bits, each[0].astype(np.int64), np.uint64(1) << ((each[1] >> np.uint64(40)) % np.uint64(_BITS)))
-            n_fig = np.bincount(each[0].astype(np.int64), minlength=n)
-            sig = bits | (np.minimum(n_fig, _MOST).astype(np.uint64) << np.uint64(_BITS))
+            np.bitwise_or.at(bits, frow, np.uint64(1) << ((fig >> 8) % _BITS).astype(np.uint64))
+            sig = bits | (np.minimum(np.bincount(frow, minlength=n), _MOST).astype(np.uint64) << np.uint64(_BITS))
             body = np.zeros(n, np.uint64)
             full = first[:-1] < first[1:]
             body[full] = W.runs(h, first[:-1][full])
-            short = lambda v: (v & np.uint64(0x7FFFFFFF)).astype(np.int32)
             none = lambda v, ok: pa.array(v.view(np.int64), pa.int64(), mask=~ok)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -148,13 +142,12 @@ def _features(divisor: int):
                     t.halves,
                     none(body, full),
                     pa.array(np.bincount(crow, weights=length, minlength=n).astype(np.int32)),
-                    W.lists(frow, short(fig), n, pa.int32()),
-                    W.lists(crow, short(chunk), n, pa.int32()),
-                    W.lists(krow, kept, n),
+                    W.lists(frow, fig, n, pa.int32()),
+                    W.lists(crow, parts, n, pa.int32()),
                     pa.array(sig.view(np.int64)),
-                    pa.array(n_fig.astype(np.int32)),
+                    pa.array(places.view(np.int64)),
                 ],
-                names=["id", "page", "title", "title_text", "halves", "body", "bytes", "figures", "chunks", "keys", "sig", "n_fig"],
+                names=["id", "page", "title", "title_text", "halves", "body", "bytes", "figures", "chunks", "sig", "places"],
             )
 
     return run
@@ -168,31 +161,69 @@ def article_features(df: DataFrame, *, id: str, url: str, title: str, body: str,
     return df.where(F.col(id).isNotNull()).select(*cols).mapInArrow(_features(limits.divisor), _FEATURES)
 
 
-def _enough_figures(a: str, b: str, share: float) -> Column:
-    """Whether two signatures leave it possible that ``share`` of the smaller text's figures are common.
+def _count(sig: str) -> Column:
+    return F.shiftrightunsigned(sig, _BITS).cast("int")
+
+
+def _most_figures(a: str, b: str) -> Column:
+    """The most figures that two texts may have in common by their signatures.
 
     Common figures have common bits, but for those of one text that share a bit."""
     bits = lambda c: F.col(c).bitwiseAND(F.lit((1 << _BITS) - 1))
-    n = lambda c: F.shiftrightunsigned(c, _BITS).cast("int")
     ones = lambda c: F.bit_count(c).cast("int")
-    most = ones(bits(a).bitwiseAND(bits(b))) + F.least(n(a) - ones(bits(a)), n(b) - ones(bits(b)))
-    fewest = F.least(n(a), n(b))
-    return (most >= F.ceil(F.lit(share) * fewest)) | (fewest == _MOST)
+    most = ones(bits(a).bitwiseAND(bits(b))) + F.least(_count(a) - ones(bits(a)), _count(b) - ones(bits(b)))
+    return F.when(F.least(_count(a), _count(b)) == _MOST, F.lit(1 << 20)).otherwise(most)
+
+
+def _needed(figures: Column, share: float) -> Column:
+    """How many figures of a text of so many must stand in another one."""
+    return F.ceil(F.lit(share) * figures - F.lit(1e-9)).cast("int")
+
+
+def _figure_pairs(reps: DataFrame, limits: DedupLimits) -> DataFrame:
+    """Pairs (a, b) that may be one text and have two figures or more in common: all that reach the limits.
+
+    The text with fewer figures must have ``need`` of its ``n`` in the other one, so two of any ``n - need + 2`` of them
+    stand in the other: pairs of figures, in whatever order, are the key, those of the longest on one side, all on the
+    other.  Of one title, one of any ``n - need + 1`` does.  What can't be one text is dropped inside the join, which adaptive
+    execution may split: by the signatures of the figures, and where two common ones are enough by the chunks as well.
+    """
+    n = F.size("figures")
+    need = F.greatest(_needed(n, limits.figures), F.lit(2))
+    reps = reps.where(n >= 2)
+    key = lambda *c: F.xxhash64(*c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("key")
+    few = lambda more: F.slice("figures", F.lit(1), n - need + more)
+    both = lambda d, *c: d.select(*c, "figures", F.posexplode("figures").alias("at", "x")).select(*c, "x", F.explode(F.slice("figures", F.col("at") + 2, F.size("figures"))).alias("y")).select(key(F.least("x", "y"), F.greatest("x", "y")), *c)
+    titled = reps.where("again")
+    some = ("a", "sa", "bytes_a", "parts")
+    small = reps.select(F.col("code").alias("a"), F.col("sig").alias("sa"), F.col("bytes").alias("bytes_a"), F.when(need == 2, F.col("chunks")).alias("parts"), few(2).alias("figures"), "title")
+    small = both(small, *some).union(titled.select(F.col("code").alias("a"), F.col("sig").alias("sa"), F.col("bytes").alias("bytes_a"), F.lit(None).cast("array<int>").alias("parts"), F.explode(few(1)).alias("x"), "title").select(key("title", "x"), *some))
+    rest = ("b", "sb", "bytes_b", "places")
+    large = lambda d, *c: d.select(F.col("code").alias("b"), F.col("sig").alias("sb"), F.col("bytes").alias("bytes_b"), "places", *c)
+    large = both(large(reps, "figures"), *rest).union(large(titled, "title", F.explode("figures").alias("x")).select(key("title", "x"), *rest))
+    fewer = (_count("sa") < _count("sb")) | ((_count("sa") == _count("sb")) & ((F.col("a") < F.col("b")) | (_count("sa") == _MOST)))
+    fresh = (F.col("a").bitwiseOR(F.col("b"))).bitwiseAND(F.lit(1)) == 1
+    most = _most_figures("sa", "sb")
+    # Two figures are enough only with twice the coverage, unless the title is the same (a key of its own).
+    there = lambda c: F.call_function("shiftright", F.col("places"), F.shiftright(c, 8).bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
+    shared = F.aggregate("parts", F.lit(0), lambda s, c: s + F.when(there(c), c.bitwiseAND(F.lit(255))).otherwise(0))
+    covered = F.col("parts").isNull() | (most >= 3) | (shared >= 2 * limits.coverage * F.least("bytes_a", "bytes_b") - F.lit(1e-6))
+    joined = small.join(large, "key").where((F.col("a") != F.col("b")) & fewer & fresh & (most >= _needed(_count("sa"), limits.figures)) & covered)
+    half = lambda c: F.floor(c / 2)
+    return joined.select(half(F.least("a", "b")).alias("a"), half(F.greatest("a", "b")).alias("b")).distinct()
 
 
 def _body_links(feats: DataFrame, limits: DedupLimits, keep) -> DataFrame:
-    """Verified links (a, b) between records sharing chunks, at least one of them fresh."""
+    """Verified links (a, b) between records that may be one text, at least one of them fresh."""
     # Of one body under one title, one record (an old one, if any) stands for all; the copies are linked by their body.
-    heads = cut(feats.where("body is not null").groupBy("body", "title").agg(F.min(F.struct("fresh", "id")).alias("m")).select("m.id"))
-    # The chunk table: key, record (the last bit tells a fresh one) and signature.  It is shuffled once, for both sides; a key
-    # in very many records is split by adaptive execution, and what can't be one text is dropped inside the join.
-    reps = keep(feats.select((F.col("id") * 2 + F.col("fresh").cast("int")).alias("code"), "id", "keys", "sig").join(heads, "id", "left_semi").drop("id"))
+    heads = cut(feats.where("body is not null").groupBy("body", "title").agg(F.min(F.struct("fresh", "id")).alias("m")).select("m.id", "title"))
+    again = heads.where("title is not null").groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("title", F.lit(True).alias("again"))
+    heads = cut(heads.join(again, "title", "left").select("id", F.coalesce("again", F.lit(False)).alias("again")))
+    cols = [(F.col("id") * 2 + F.col("fresh").cast("int")).alias("code"), "title", "bytes", "figures", "sig", "places"]
+    chunks = F.when(_needed(F.size("figures"), limits.figures) <= 2, F.col("chunks")).alias("chunks")
+    reps = keep(feats.select("id", *cols, chunks).join(heads, "id").drop("id"))
     release(feats.sparkSession)
-    table = lambda c, s: reps.select(F.explode(F.array_distinct("keys")).alias("key"), F.col("code").alias(c), F.col("sig").alias(s))
-    fresh = (F.col("a").bitwiseOR(F.col("b"))).bitwiseAND(F.lit(1)) == 1
-    joined = table("a", "sa").join(table("b", "sb"), "key").where((F.col("a") < F.col("b")) & fresh & _enough_figures("sa", "sb", limits.figures))
-    half = lambda c: F.floor(F.col(c) / 2).alias(c)
-    pairs = cut(joined.select(half("a"), half("b")).distinct())
+    pairs = cut(_figure_pairs(reps, limits))
     release(feats.sparkSession)
     pairs = cut(pairs.union(_lone_pairs(feats, heads, limits)).distinct())
     held = keep(feats.select("id", "title", "bytes", "figures", "chunks").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
@@ -224,7 +255,7 @@ def _in_map(chunk: Column) -> Column:
 
 
 def _lone_pairs(feats: DataFrame, heads: DataFrame, limits: DedupLimits) -> DataFrame:
-    """Pairs (a, b) that may be one text though one of them has one figure or none: all that reach ``limits.lone``.
+    """Pairs (a, b) that may be one text with one common figure or none, which one of them must have few figures for: all that reach ``limits.lone``.
 
     The smaller body must share that part of its bytes, so it shares one of its rarest chunks that together
     are more than the part it may lack.  Only chunks of bodies with so few figures come into question; bitmaps of
@@ -232,7 +263,7 @@ def _lone_pairs(feats: DataFrame, heads: DataFrame, limits: DedupLimits) -> Data
     """
     spark = feats.sparkSession
     size = lambda c: c.bitwiseAND(F.lit(255))
-    bodies = feats.where("body is not null").select("id", "fresh", "bytes", (F.col("n_fig") <= 1).alias("lone"), F.array_distinct("chunks").alias("chunks"))
+    bodies = feats.where("body is not null").select("id", "fresh", "bytes", (_needed(F.size("figures"), limits.figures) <= 1).alias("lone"), F.array_distinct("chunks").alias("chunks"))
     known = bodies.crossJoin(_bitmap(spark, bodies.where("lone").select(F.explode("chunks").alias("chunk")))).withColumn("chunks", F.filter("chunks", _in_map)).drop("map")
     total = F.aggregate("chunks", F.lit(0), lambda s, c: s + size(c))
     # The smaller body of a pair: one with few figures, or one of which enough stands in such.
