@@ -68,6 +68,41 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     return full.where(F.col("jaccard") >= threshold).select("l", "r", "jaccard")
 
 
+# Letters of the longest word whose deletion neighbourhood is listed (some 300 entries); longer ones are rare and their grams tell them apart.
+_LISTED = 12
+
+
+def _deletions(words: DataFrame, edits: Column, most: int) -> DataFrame:
+    """Each word (``key``) under what is left of it without up to ``edits`` letters, ``most`` at most: ``rest`` (hashed), ``key``."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
+    d = words.select("key", edits.alias("edits"), F.array("key").alias("d0"))
+    for j in range(most):
+        d = d.withColumn(f"d{j + 1}", F.when(F.least("edits", F.length("key")) > j, F.array_distinct(F.flatten(F.transform(f"d{j}", less)))).otherwise(F.array().cast("array<string>")))
+    return d.select("key", F.explode(F.concat(*[f"d{j}" for j in range(most + 1)])).alias("rest")).select(F.xxhash64("rest").alias("rest"), "key")
+
+
+def close_words(left: DataFrame, right: DataFrame, limits: NameLimits) -> DataFrame:
+    """All pairs of words (``key``, ``tokens``: their grams) that reach the Jaccard similarity and are few enough edits apart: ``l``, ``r``, ``jaccard``, ``edits``.
+
+    Two words ``k`` edits apart have something in common that is left when at most ``k`` letters of each are taken out; so
+    only words nearly that close ever meet, however many share a syllable.  Long words meet by their grams.
+    """
+    spark, size = left.sparkSession, F.length("key")
+    deal = lambda d: d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
+    third = lambda n: F.least(F.lit(limits.edits), F.floor(n / 3)).cast("int")
+    one = _deletions(deal(left.where(size <= _LISTED).select("key")), third(size), limits.edits).withColumnRenamed("key", "l")
+    two = _deletions(deal(right.where(size <= _LISTED + limits.edits).select("key")), third(size + limits.edits), limits.edits).withColumnRenamed("key", "r")
+    # The neighbourhoods are far larger than the words they come from: never broadcast.
+    near = one.join(two.hint("merge"), "rest").where(F.abs(F.length("l") - F.length("r")) <= limits.edits).select("l", "r").distinct()
+    edits = F.levenshtein("l", "r", limits.edits)
+    enough = (F.col("edits") >= 0) & (F.col("edits") * 3 <= F.length("l"))
+    a, b = grams(F.col("l")), grams(F.col("r"))
+    both = F.size(F.array_intersect(a, b))
+    near = near.withColumn("edits", edits).where(enough).withColumn("jaccard", both / (F.size(a) + F.size(b) - both)).where(F.col("jaccard") >= limits.jaccard)
+    far = similar_sets(left.where(size > _LISTED), right.where(size > _LISTED - limits.edits), limits.jaccard).withColumn("edits", edits).where(enough)
+    return near.select("l", "r", "jaccard", "edits").union(far.select("l", "r", "jaccard", "edits"))
+
+
 _LEET = str.maketrans("0134578", "oleastb")
 
 
@@ -145,8 +180,7 @@ def map_names(records: DataFrame, companies: DataFrame, listed: DataFrame, *, li
     right = forms.select(F.col("form").alias("key")).distinct()
     tokens = spots.select(F.col("token").alias("key")).distinct()
     odd = cut(tokens.join(right, "key", "left_anti").withColumn("tokens", grams(F.col("key"))))
-    near = similar_sets(odd, cut(right.withColumn("tokens", grams(F.col("key")))), limits.jaccard)
-    near = near.withColumn("edits", F.levenshtein("l", "r")).where((F.col("edits") <= limits.edits) & (F.col("edits") * 3 <= F.length("l")))
+    near = close_words(odd, cut(right.withColumn("tokens", grams(F.col("key")))), limits)
     near = near.select(F.col("l").alias("token"), F.col("r").alias("form"), (F.col("edits") + 1 - F.col("jaccard")).alias("cost"))
     same = tokens.join(right, "key").select(F.col("key").alias("token"), F.col("key").alias("form"), F.lit(0.0).alias("cost"))
     to_form = cut(same.union(near))
