@@ -50,8 +50,8 @@ def page_key(url: Column) -> Column:
 
 # A signature: one bit for each figure (several may share one), and above them how many figures there are.
 _BITS, _MOST = 58, 63
-# Figures (each once, the longest first) and chunks are known by 31 bits of their hashes; ``places`` has one of 64 bits for each chunk.
-_FEATURES = "id bigint, page bigint, title bigint, title_text string, halves array<bigint>, body bigint, bytes int, figures array<int>, chunks array<int>, sig bigint, places bigint"
+# Figures (each once, the longest first) and chunks are known by 31 bits of their hashes.
+_FEATURES = "id bigint, page bigint, title bigint, title_text string, halves array<bigint>, body bigint, bytes int, figures array<int>, chunks array<int>, sig bigint"
 
 
 @dataclass
@@ -117,8 +117,6 @@ def _features(divisor: int):
             crow = row[begin]
             short = lambda v: (v & np.uint64(0x7FFFFFFF)).astype(np.int32)
             parts = short(chunk)
-            places = np.zeros(n, np.uint64)
-            np.bitwise_or.at(places, crow, np.uint64(1) << ((parts >> 8) & 63).astype(np.uint64))
             # The figures of a body, each once, the longest first: they are the rarest.
             fig, frow, fsize = short(h[figure]), row[figure], size[figure]
             order = np.lexsort((fig, -fsize, frow))
@@ -145,9 +143,8 @@ def _features(divisor: int):
                     W.lists(frow, fig, n, pa.int32()),
                     W.lists(crow, parts, n, pa.int32()),
                     pa.array(sig.view(np.int64)),
-                    pa.array(places.view(np.int64)),
                 ],
-                names=["id", "page", "title", "title_text", "halves", "body", "bytes", "figures", "chunks", "sig", "places"],
+                names=["id", "page", "title", "title_text", "halves", "body", "bytes", "figures", "chunks", "sig"],
             )
 
     return run
@@ -180,13 +177,64 @@ def _needed(figures: Column, share: float) -> Column:
     return F.ceil(F.lit(share) * figures - F.lit(1e-9)).cast("int")
 
 
-def _figure_pairs(reps: DataFrame, limits: DedupLimits) -> DataFrame:
-    """Pairs (a, b) that may be one text and have two figures or more in common: all that reach the limits.
+# The chunks of a body are marked in so many words of 64 bits; the keys of figures are joined in so many slices, one after the other.
+_WORDS, _SLICES, _NEVER = 4, 3, 1 << 20
+_MARKS = [f"w{k}" for k in range(_WORDS)]
+
+
+def _marked(reps: DataFrame, limits: DedupLimits) -> DataFrame:
+    """``reps`` with each chunk once, marks of the chunks (``w0`` and so on), and the fewest marks that ``coverage`` (``least3``) and twice as much (``least2``) may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, column = batch.num_rows, batch["chunks"]
+            chunk, row = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_parent_indices(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            whole = np.unique((row << 31) | chunk)
+            row, chunk = whole >> 31, whole & 0x7FFFFFFF
+            slot, which = np.unique(row * (64 * _WORDS) + ((chunk >> 8) & (64 * _WORDS - 1)), return_inverse=True)
+            weight = np.bincount(which, weights=chunk & 255, minlength=len(slot))
+            srow, place = slot // (64 * _WORDS), slot % (64 * _WORDS)
+            words = np.zeros((_WORDS, n), np.uint64)
+            np.bitwise_or.at(words, (place >> 6, srow), np.uint64(1) << (place & 63).astype(np.uint64))
+            # Of the heaviest marks, so many are below the share.
+            order = np.lexsort((-weight, srow))
+            w, r = weight[order], srow[order]
+            before = np.cumsum(w) - w
+            before -= before[np.searchsorted(r, r)]
+            total, size = np.bincount(srow, weights=weight, minlength=n), batch["bytes"].to_numpy(zero_copy_only=False)
+            least = [np.where(total < (need := share * size - 1e-6), _NEVER, np.bincount(r[before < need[r]], minlength=n)) for share in (limits.coverage, 2 * limits.coverage)]
+            columns = [*(batch[c] for c in kept), W.lists(row, chunk.astype(np.int32), n, pa.int32()), *(pa.array(x.view(np.int64)) for x in words), *(pa.array(x.astype(np.int32)) for x in least)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kept = ["code", "title", "bytes", "figures", "sig", "again"]
+    names = [*kept, "chunks", *_MARKS, "least3", "least2"]
+    kind = "code bigint, title bigint, bytes int, figures array<int>, sig bigint, again boolean, chunks array<int>, " + "".join(f"{w} bigint, " for w in _MARKS) + "least3 int, least2 int"
+    return reps.select(*kept, "chunks").mapInArrow(run, kind)
+
+
+def _marked_bytes(parts: str, suffix: str = "") -> Column:
+    """Bytes of the chunks of ``parts`` that have a mark in the words of another body: no less than what both share."""
+    word = lambda c: F.shiftright(c, 14).bitwiseAND(F.lit(_WORDS - 1))
+
+    def there(c: Column) -> Column:
+        words = F.lit(0).cast("bigint")
+        for k, w in enumerate(_MARKS):
+            words = F.when(word(c) == k, F.col(w + suffix)).otherwise(words)
+        return F.call_function("shiftright", words, F.shiftright(c, 8).bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
+
+    return F.aggregate(parts, F.lit(0), lambda s, c: s + F.when(there(c), c.bitwiseAND(F.lit(255))).otherwise(0))
+
+
+def _figure_pairs(reps: DataFrame, limits: DedupLimits, part: int) -> DataFrame:
+    """Pairs (a, b) that may be one text and have two figures or more in common: with all parts, all that reach the limits.
 
     The text with fewer figures must have ``need`` of its ``n`` in the other one, so two of any ``n - need + 2`` of them
     stand in the other: pairs of figures, in whatever order, are the key, those of the longest on one side, all on the
     other.  Of one title, one of any ``n - need + 1`` does.  What can't be one text is dropped inside the join, which adaptive
-    execution may split: by the signatures of the figures, and where two common ones are enough by the chunks as well.
+    execution may split: by the signatures of the figures, by the number of common marks of chunks, and by the bytes of the
+    marked chunks; a title in common (a key of its own) needs none.  Few texts with two figures in common share any of their
+    words, so it is the marks that keep the pairs from growing with the square of the texts on disk.  Of the keys, a ``part``
+    of ``_SLICES`` is joined at a time.
     """
     n = F.size("figures")
     need = F.greatest(_needed(n, limits.figures), F.lit(2))
@@ -195,20 +243,23 @@ def _figure_pairs(reps: DataFrame, limits: DedupLimits) -> DataFrame:
     few = lambda more: F.slice("figures", F.lit(1), n - need + more)
     both = lambda d, *c: d.select(*c, "figures", F.posexplode("figures").alias("at", "x")).select(*c, "x", F.explode(F.slice("figures", F.col("at") + 2, F.size("figures"))).alias("y")).select(key(F.least("x", "y"), F.greatest("x", "y")), *c)
     titled = reps.where("again")
-    some = ("a", "sa", "bytes_a", "parts")
-    small = reps.select(F.col("code").alias("a"), F.col("sig").alias("sa"), F.col("bytes").alias("bytes_a"), F.when(need == 2, F.col("chunks")).alias("parts"), few(2).alias("figures"), "title")
-    small = both(small, *some).union(titled.select(F.col("code").alias("a"), F.col("sig").alias("sa"), F.col("bytes").alias("bytes_a"), F.lit(None).cast("array<int>").alias("parts"), F.explode(few(1)).alias("x"), "title").select(key("title", "x"), *some))
-    rest = ("b", "sb", "bytes_b", "places")
-    large = lambda d, *c: d.select(F.col("code").alias("b"), F.col("sig").alias("sb"), F.col("bytes").alias("bytes_b"), "places", *c)
-    large = both(large(reps, "figures"), *rest).union(large(titled, "title", F.explode("figures").alias("x")).select(key("title", "x"), *rest))
+    own = lambda s, *c: [F.col("code").alias(s), F.col("sig").alias(f"s{s}"), *[F.col(x).alias(f"{x}_{s}") for x in ("bytes", "least2", "least3", *_MARKS)], *c]
+    names = lambda s: [s, f"s{s}", *[f"{x}_{s}" for x in ("bytes", "least2", "least3", *_MARKS)]]
+    parts, none = F.col("chunks").alias("parts"), F.lit(None).cast("array<int>").alias("parts")
+    small = both(reps.select(*own("a", parts, few(2).alias("figures"))), *names("a"), "parts")
+    small = small.union(titled.select(*own("a", none, "title", F.explode(few(1)).alias("x"))).select(key("title", "x"), *names("a"), "parts"))
+    large = both(reps.select(*own("b", "figures")), *names("b"))
+    large = large.union(titled.select(*own("b", "title", F.explode("figures").alias("x"))).select(key("title", "x"), *names("b")))
+    here = F.col("key") % _SLICES == part
     fewer = (_count("sa") < _count("sb")) | ((_count("sa") == _count("sb")) & ((F.col("a") < F.col("b")) | (_count("sa") == _MOST)))
     fresh = (F.col("a").bitwiseOR(F.col("b"))).bitwiseAND(F.lit(1)) == 1
     most = _most_figures("sa", "sb")
-    # Two figures are enough only with twice the coverage, unless the title is the same (a key of its own).
-    there = lambda c: F.call_function("shiftright", F.col("places"), F.shiftright(c, 8).bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
-    shared = F.aggregate("parts", F.lit(0), lambda s, c: s + F.when(there(c), c.bitwiseAND(F.lit(255))).otherwise(0))
-    covered = F.col("parts").isNull() | (most >= 3) | (shared >= 2 * limits.coverage * F.least("bytes_a", "bytes_b") - F.lit(1e-6))
-    joined = small.join(large, "key").where((F.col("a") != F.col("b")) & fewer & fresh & (most >= _needed(_count("sa"), limits.figures)) & covered)
+    # Two figures are enough only with twice the coverage of the smaller body, unless the title is the same.
+    marks = sum((F.bit_count(F.col(f"{w}_a").bitwiseAND(F.col(f"{w}_b"))).cast("int") for w in _MARKS), F.lit(0))
+    least = lambda s: F.when(most >= 3, F.col(f"least3_{s}")).otherwise(F.col(f"least2_{s}"))
+    share = F.when(most >= 3, F.lit(limits.coverage)).otherwise(F.lit(2 * limits.coverage))
+    covered = F.col("parts").isNull() | ((marks >= F.when(F.col("bytes_a") <= F.col("bytes_b"), least("a")).otherwise(least("b"))) & (_marked_bytes("parts", "_b") >= share * F.least("bytes_a", "bytes_b") - F.lit(1e-6)))
+    joined = small.where(here).join(large.where(here), "key").where((F.col("a") != F.col("b")) & fewer & fresh & (most >= _needed(_count("sa"), limits.figures)) & covered)
     half = lambda c: F.floor(c / 2)
     return joined.select(half(F.least("a", "b")).alias("a"), half(F.greatest("a", "b")).alias("b")).distinct()
 
@@ -219,13 +270,15 @@ def _body_links(feats: DataFrame, limits: DedupLimits, keep) -> DataFrame:
     heads = cut(feats.where("body is not null").groupBy("body", "title").agg(F.min(F.struct("fresh", "id")).alias("m")).select("m.id", "title"))
     again = heads.where("title is not null").groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("title", F.lit(True).alias("again"))
     heads = cut(heads.join(again, "title", "left").select("id", F.coalesce("again", F.lit(False)).alias("again")))
-    cols = [(F.col("id") * 2 + F.col("fresh").cast("int")).alias("code"), "title", "bytes", "figures", "sig", "places"]
-    chunks = F.when(_needed(F.size("figures"), limits.figures) <= 2, F.col("chunks")).alias("chunks")
-    reps = keep(feats.select("id", *cols, chunks).join(heads, "id").drop("id"))
+    cols = [(F.col("id") * 2 + F.col("fresh").cast("int")).alias("code"), "title", "bytes", "figures", "sig", "chunks"]
+    reps = keep(_marked(feats.select("id", *cols).join(heads, "id").drop("id"), limits))
     release(feats.sparkSession)
-    pairs = cut(_figure_pairs(reps, limits))
-    release(feats.sparkSession)
-    pairs = cut(pairs.union(_lone_pairs(feats, heads, limits)).distinct())
+    pairs = None
+    for part in range(_SLICES):
+        some = cut(_figure_pairs(reps, limits, part))
+        pairs = some if pairs is None else pairs.union(some)
+        release(feats.sparkSession)
+    pairs = cut(pairs.union(_lone_pairs(reps, limits)).distinct())
     release(feats.sparkSession)
     held = keep(feats.select("id", "title", "bytes", "figures", "chunks").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
     release(feats.sparkSession)
@@ -255,23 +308,50 @@ def _in_map(chunk: Column) -> Column:
     return F.get("map", F.shiftright(at, 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)))) != 0
 
 
-def _lone_pairs(feats: DataFrame, heads: DataFrame, limits: DedupLimits) -> DataFrame:
+def _only(df: DataFrame, some: DataFrame) -> DataFrame:
+    """Rows of ``df`` with those of their ``chunks`` that stand among ``some`` (column ``chunk``), and a few more; rows left without any go.
+
+    A bitmap of 16 bits a chunk, 8 MB at most, tells them; what passes beyond is dropped by the joins that follow."""
+    spark = df.sparkSession
+    bits = int(np.clip(np.ceil(np.log2(16 * max(some.count(), 1))), 20, 26))
+    at = F.shiftright((F.col("chunk").cast("bigint") * _SPREAD).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - bits)
+    words = some.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(1 << (bits - 6), np.int64)
+    held[words["word"].to_numpy()] = words["bits"].to_numpy()
+    known = spark.sparkContext.broadcast(held.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch["chunks"]
+            flat, row = pc.list_flatten(column).to_numpy(zero_copy_only=False), pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+            place = ((flat.astype(np.uint64) * np.uint64(_SPREAD)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)
+            there = (known.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            lists = W.lists(row[there], flat[there], batch.num_rows, pa.int32())
+            out = pa.RecordBatch.from_arrays([lists if c == "chunks" else batch[c] for c in batch.schema.names], names=batch.schema.names)
+            yield out.filter(pc.greater(pc.list_value_length(lists), 0))
+
+    return df.mapInArrow(run, df.schema)
+
+
+_SPREAD = 2654435761
+
+
+def _lone_pairs(reps: DataFrame, limits: DedupLimits) -> DataFrame:
     """Pairs (a, b) that may be one text with one common figure or none, which one of them must have few figures for: all that reach ``limits.lone``.
 
     The smaller body must share that part of its bytes, so it shares one of its rarest chunks that together
     are more than the part it may lack.  Only chunks of bodies with so few figures come into question; bitmaps of
-    them keep nearly all chunks of all other bodies out of any shuffle.
+    them keep nearly all chunks of all other bodies out of any shuffle, and marks of all chunks tell inside the join
+    which bodies may share enough.
     """
-    spark = feats.sparkSession
     size = lambda c: c.bitwiseAND(F.lit(255))
-    bodies = feats.where("body is not null").select("id", "fresh", "bytes", (_needed(F.size("figures"), limits.figures) <= 1).alias("lone"), F.array_distinct("chunks").alias("chunks"))
-    known = bodies.crossJoin(_bitmap(spark, bodies.where("lone").select(F.explode("chunks").alias("chunk")))).withColumn("chunks", F.filter("chunks", _in_map)).drop("map")
+    bodies = reps.select(F.floor(F.col("code") / 2).alias("id"), (F.col("code") % 2 == 1).alias("fresh"), "bytes", (_needed(F.size("figures"), limits.figures) <= 1).alias("lone"), "chunks")
+    known = _only(bodies, bodies.where("lone").select(F.explode("chunks").alias("chunk")))
     total = F.aggregate("chunks", F.lit(0), lambda s, c: s + size(c))
     # The smaller body of a pair: one with few figures, or one of which enough stands in such.
-    small = known.where(F.col("lone") | (total >= limits.lone * F.col("bytes"))).join(heads, "id", "left_semi")
+    small = known.where(F.col("lone") | (total >= limits.lone * F.col("bytes") - F.lit(1e-6)))
     small = cut(small.select("id", "fresh", "bytes", "lone", F.explode("chunks").alias("chunk")))
-    among = lambda some: bodies.crossJoin(_bitmap(spark, some)).select("id", "fresh", "bytes", "lone", "map", F.explode("chunks").alias("chunk")).where(_in_map(F.col("chunk"))).drop("map")
-    every = among(small.select("chunk"))
+    every = _only(bodies, small.select("chunk")).select("lone", F.explode("chunks").alias("chunk"))
     # A body with few figures is laid against all, any other against those with few.
     counts = every.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("lone").cast("bigint")).alias("n_lone"))
     cost = small.join(counts, "chunk").withColumn("cost", F.when(F.col("lone"), F.col("n")).otherwise(F.col("n_lone"))).where("cost > 0")
@@ -279,8 +359,11 @@ def _lone_pairs(feats: DataFrame, heads: DataFrame, limits: DedupLimits) -> Data
     spare = F.sum(size(F.col("chunk"))).over(Window.partitionBy("id")) - limits.lone * F.col("bytes") + 1e-6
     before = F.sum(size(F.col("chunk"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size(F.col("chunk"))
     probes = cut(cost.select("*", spare.alias("spare"), before.alias("before")).where("before <= spare").select("chunk", F.col("id").alias("p"), F.col("bytes").alias("bytes_p"), F.col("lone").alias("lone_p"), F.col("fresh").alias("fresh_p")))
-    hit = among(probes.select("chunk")).join(heads, "id", "left_semi")
-    pairs = probes.join(hit, "chunk").where("p != id and bytes_p <= bytes and (lone or lone_p) and (fresh or fresh_p)")
+    release(reps.sparkSession)
+    marks = reps.select(F.floor(F.col("code") / 2).alias("id"), (F.col("code") % 2 == 1).alias("fresh"), "bytes", (_needed(F.size("figures"), limits.figures) <= 1).alias("lone"), "chunks", *_MARKS)
+    hit = _only(marks, probes.select("chunk")).select("id", "fresh", "bytes", "lone", *_MARKS, F.explode("chunks").alias("chunk"))
+    probes = probes.join(bodies.select(F.col("id").alias("p"), F.col("chunks").alias("parts")), "p")
+    pairs = probes.join(hit, "chunk").where((F.expr("p != id and bytes_p <= bytes and (lone or lone_p) and (fresh or fresh_p)")) & (_marked_bytes("parts") >= limits.lone * F.col("bytes_p") - F.lit(1e-6)))
     return pairs.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
 
 
