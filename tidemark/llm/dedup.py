@@ -112,7 +112,8 @@ def _features(divisor: int):
             begin = np.flatnonzero(fresh | np.concatenate([[False], ends[:-1]])) if len(h) else np.zeros(0, np.int64)
             chunk = W.runs(h, begin)
             length = np.minimum(np.add.reduceat(size, begin), 255) if len(begin) else np.zeros(0, np.int64)
-            figure = number & ~np.isin(h, years)
+            figure = np.flatnonzero(number)
+            figure = figure[~np.isin(h[figure], years)]
             chunk = (chunk & ~np.uint64(0xFF)) | length.astype(np.uint64)
             crow = row[begin]
             short = lambda v: (v & np.uint64(0x7FFFFFFF)).astype(np.int32)
@@ -152,10 +153,9 @@ def _features(divisor: int):
 
 def article_features(df: DataFrame, *, id: str, url: str, title: str, body: str, limits: DedupLimits = DedupLimits()) -> DataFrame:
     """Page, title and body keys, chunks and figures of each record (one row per input row with an id)."""
-    cols = [F.col(id).cast("bigint").alias("id"), F.xxhash64(page_key(F.col(url))).alias("page"), F.col(title).cast("string").alias("title"), F.col(body).cast("string").alias("body")]
-    page = page_key(F.col(url))
-    cols[1] = F.when(page.isNotNull(), F.xxhash64(page)).alias("page")
-    return df.where(F.col(id).isNotNull()).select(*cols).mapInArrow(_features(limits.divisor), _FEATURES)
+    cols = [F.col(id).cast("bigint").alias("id"), page_key(F.col(url)).alias("page"), F.col(title).cast("string").alias("title"), F.col(body).cast("string").alias("body")]
+    rows = df.where(F.col(id).isNotNull()).select(*cols).withColumn("page", F.when(F.col("page").isNotNull(), F.xxhash64("page")))
+    return rows.mapInArrow(_features(limits.divisor), _FEATURES)
 
 
 def _count(sig: str) -> Column:
@@ -178,12 +178,43 @@ def _needed(figures: Column, share: float) -> Column:
 
 
 # The chunks of a body are marked in so many words of 64 bits; the keys of figures are joined in so many slices, one after the other.
-_WORDS, _SLICES, _NEVER = 4, 3, 1 << 20
+_WORDS, _SLICES, _NEVER = 4, 3, (1 << 10) - 1
 _MARKS = [f"w{k}" for k in range(_WORDS)]
 
 
+def _figure_keys(figures: np.ndarray, row: np.ndarray, n: int, title: np.ndarray, again: np.ndarray, share: float) -> list[tuple[pa.ListArray, np.ndarray]]:
+    """For each slice, the keys under which bodies of two figures or more meet, and how many of them, the first, are keys of the body with fewer figures.
+
+    A key is 31 bits of a hash of two figures, or of the title (where it stands ``again``) and a figure, and below them whether it has the title."""
+    first = np.searchsorted(row, np.arange(n + 1))
+    count = np.diff(first)
+    need = np.maximum(np.ceil(share * count - 1e-9).astype(np.int64), 2)
+    at = np.arange(len(row)) - first[row]
+    value = figures.astype(np.uint64)
+    later = count[row] - 1 - at
+    x = np.repeat(np.arange(len(row)), later)
+    y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later) - later, later)
+    with np.errstate(over="ignore"):
+        pair = W.mix((np.minimum(value[x], value[y]) << np.uint64(32)) | np.maximum(value[x], value[y]))
+        t = np.flatnonzero(again[row] & (count[row] >= 2))
+        titled = W.mix(title.view(np.uint64)[row[t]] * np.uint64(31) + value[t])
+    hashed = np.concatenate([pair, titled]) >> np.uint64(33)
+    key = ((hashed << np.uint64(1)) | (np.arange(len(hashed)) >= len(x)).astype(np.uint64)).astype(np.uint32).view(np.int32)
+    krow = np.concatenate([row[x], row[t]])
+    few = (count - need)[krow] + np.concatenate([np.full(len(x), 2), np.ones(len(t), np.int64)])
+    rest = np.concatenate([at[y], at[t]]) >= few
+    order = np.argsort(krow * 2 + rest, kind="stable")
+    out = []
+    for part in range(_SLICES):
+        some = order[hashed[order] % np.uint64(_SLICES) == part]
+        out.append((W.lists(krow[some], key[some], n, pa.int32()), np.bincount(krow[some][~rest[some]], minlength=n)))
+    return out
+
+
 def _marked(reps: DataFrame, limits: DedupLimits) -> DataFrame:
-    """``reps`` with each chunk once, marks of the chunks (``w0`` and so on), and the fewest marks that ``coverage`` (``least3``) and twice as much (``least2``) may have."""
+    """``reps`` with each chunk once, marks of the chunks (``w0`` and so on), the keys of its figures (``keys0`` and so on, of
+    which the first ``small0`` are those of the body with fewer figures), and ``size``: the bytes and, from bit 32 and 42 on, the
+    fewest marks that twice the ``coverage`` and the ``coverage`` may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,14 +233,18 @@ def _marked(reps: DataFrame, limits: DedupLimits) -> DataFrame:
             before = np.cumsum(w) - w
             before -= before[np.searchsorted(r, r)]
             total, size = np.bincount(srow, weights=weight, minlength=n), batch["bytes"].to_numpy(zero_copy_only=False)
-            least = [np.where(total < (need := share * size - 1e-6), _NEVER, np.bincount(r[before < need[r]], minlength=n)) for share in (limits.coverage, 2 * limits.coverage)]
-            columns = [*(batch[c] for c in kept), W.lists(row, chunk.astype(np.int32), n, pa.int32()), *(pa.array(x.view(np.int64)) for x in words), *(pa.array(x.astype(np.int32)) for x in least)]
+            least = [np.where(total < (need := share * size - 1e-6), _NEVER, np.bincount(r[before < need[r]], minlength=n)).astype(np.int64) for share in (2 * limits.coverage, limits.coverage)]
+            packed = size.astype(np.int64) | (least[0] << 32) | (least[1] << 42)
+            figures, frow = pc.list_flatten(batch["figures"]).to_numpy(zero_copy_only=False), pc.list_parent_indices(batch["figures"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            again = batch["again"].to_numpy(zero_copy_only=False).astype(bool)
+            keys = _figure_keys(figures, frow, n, pc.fill_null(batch["title"], 0).to_numpy(zero_copy_only=False), again, limits.figures)
+            columns = [batch["code"], batch["bytes"], pc.list_value_length(batch["figures"]), batch["sig"], W.lists(row, chunk.astype(np.int32), n, pa.int32()), *(pa.array(x.view(np.int64)) for x in words), pa.array(packed)]
+            columns += [c for k, m in keys for c in (k, pa.array(m.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kept = ["code", "title", "bytes", "figures", "sig", "again"]
-    names = [*kept, "chunks", *_MARKS, "least3", "least2"]
-    kind = "code bigint, title bigint, bytes int, figures array<int>, sig bigint, again boolean, chunks array<int>, " + "".join(f"{w} bigint, " for w in _MARKS) + "least3 int, least2 int"
-    return reps.select(*kept, "chunks").mapInArrow(run, kind)
+    names = ["code", "bytes", "n_figures", "sig", "chunks", *_MARKS, "size", *(c for k in range(_SLICES) for c in (f"keys{k}", f"small{k}"))]
+    kind = "code bigint, bytes int, n_figures int, sig bigint, chunks array<int>, " + "".join(f"{w} bigint, " for w in _MARKS) + "size bigint" + "".join(f", keys{k} array<int>, small{k} int" for k in range(_SLICES))
+    return reps.select("code", "title", "bytes", "figures", "sig", "again", "chunks").mapInArrow(run, kind)
 
 
 def _marked_bytes(parts: str, suffix: str = "") -> Column:
@@ -236,30 +271,22 @@ def _figure_pairs(reps: DataFrame, limits: DedupLimits, part: int) -> DataFrame:
     words, so it is the marks that keep the pairs from growing with the square of the texts on disk.  Of the keys, a ``part``
     of ``_SLICES`` is joined at a time.
     """
-    n = F.size("figures")
-    need = F.greatest(_needed(n, limits.figures), F.lit(2))
-    reps = reps.where(n >= 2)
-    key = lambda *c: F.xxhash64(*c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("key")
-    few = lambda more: F.slice("figures", F.lit(1), n - need + more)
-    both = lambda d, *c: d.select(*c, "figures", F.posexplode("figures").alias("at", "x")).select(*c, "x", F.explode(F.slice("figures", F.col("at") + 2, F.size("figures"))).alias("y")).select(key(F.least("x", "y"), F.greatest("x", "y")), *c)
-    titled = reps.where("again")
-    own = lambda s, *c: [F.col("code").alias(s), F.col("sig").alias(f"s{s}"), *[F.col(x).alias(f"{x}_{s}") for x in ("bytes", "least2", "least3", *_MARKS)], *c]
-    names = lambda s: [s, f"s{s}", *[f"{x}_{s}" for x in ("bytes", "least2", "least3", *_MARKS)]]
-    parts, none = F.col("chunks").alias("parts"), F.lit(None).cast("array<int>").alias("parts")
-    small = both(reps.select(*own("a", parts, few(2).alias("figures"))), *names("a"), "parts")
-    small = small.union(titled.select(*own("a", none, "title", F.explode(few(1)).alias("x"))).select(key("title", "x"), *names("a"), "parts"))
-    large = both(reps.select(*own("b", "figures")), *names("b"))
-    large = large.union(titled.select(*own("b", "title", F.explode("figures").alias("x"))).select(key("title", "x"), *names("b")))
-    here = F.col("key") % _SLICES == part
+    own = lambda s: [F.col("code").alias(s), F.col("sig").alias(f"s{s}"), *[F.col(x).alias(f"{x}_{s}") for x in ("size", *_MARKS)]]
+    titled = F.col("key").bitwiseAND(F.lit(1)) == 1
+    small = reps.where(f"small{part} > 0").select(*own("a"), "chunks", F.slice(f"keys{part}", F.lit(1), F.col(f"small{part}")).alias("keys"))
+    small = small.select("a", "sa", "size_a", *[f"{w}_a" for w in _MARKS], "chunks", F.explode("keys").alias("key")).withColumn("parts", F.when(~titled, F.col("chunks"))).drop("chunks")
+    large = reps.select(*own("b"), F.explode(f"keys{part}").alias("key"))
     fewer = (_count("sa") < _count("sb")) | ((_count("sa") == _count("sb")) & ((F.col("a") < F.col("b")) | (_count("sa") == _MOST)))
     fresh = (F.col("a").bitwiseOR(F.col("b"))).bitwiseAND(F.lit(1)) == 1
     most = _most_figures("sa", "sb")
     # Two figures are enough only with twice the coverage of the smaller body, unless the title is the same.
+    size = lambda s: F.col(f"size_{s}").bitwiseAND(F.lit(0xFFFFFFFF))
+    smaller = F.when(size("a") <= size("b"), F.col("size_a")).otherwise(F.col("size_b"))
     marks = sum((F.bit_count(F.col(f"{w}_a").bitwiseAND(F.col(f"{w}_b"))).cast("int") for w in _MARKS), F.lit(0))
-    least = lambda s: F.when(most >= 3, F.col(f"least3_{s}")).otherwise(F.col(f"least2_{s}"))
+    least = F.when(most >= 3, F.shiftright(smaller, 42)).otherwise(F.shiftright(smaller, 32).bitwiseAND(F.lit(_NEVER)))
     share = F.when(most >= 3, F.lit(limits.coverage)).otherwise(F.lit(2 * limits.coverage))
-    covered = F.col("parts").isNull() | ((marks >= F.when(F.col("bytes_a") <= F.col("bytes_b"), least("a")).otherwise(least("b"))) & (_marked_bytes("parts", "_b") >= share * F.least("bytes_a", "bytes_b") - F.lit(1e-6)))
-    joined = small.where(here).join(large.where(here), "key").where((F.col("a") != F.col("b")) & fewer & fresh & (most >= _needed(_count("sa"), limits.figures)) & covered)
+    covered = titled | ((marks >= least) & (_marked_bytes("parts", "_b") >= share * smaller.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1e-6)))
+    joined = small.join(large, "key").where((F.col("a") != F.col("b")) & fewer & fresh & (most >= _needed(_count("sa"), limits.figures)) & covered)
     half = lambda c: F.floor(c / 2)
     return joined.select(half(F.least("a", "b")).alias("a"), half(F.greatest("a", "b")).alias("b")).distinct()
 
@@ -267,7 +294,7 @@ def _figure_pairs(reps: DataFrame, limits: DedupLimits, part: int) -> DataFrame:
 def _body_links(feats: DataFrame, limits: DedupLimits, keep) -> DataFrame:
     """Verified links (a, b) between records that may be one text, at least one of them fresh."""
     # Of one body under one title, one record (an old one, if any) stands for all; the copies are linked by their body.
-    heads = cut(feats.where("body is not null").groupBy("body", "title").agg(F.min(F.struct("fresh", "id")).alias("m")).select("m.id", "title"))
+    heads = cut(feats.where("body is not null").groupBy("body", "title").agg(F.coalesce(F.min(F.when(~F.col("fresh"), F.col("id"))), F.min("id")).alias("id")).select("id", "title"))
     again = heads.where("title is not null").groupBy("title").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("title", F.lit(True).alias("again"))
     heads = cut(heads.join(again, "title", "left").select("id", F.coalesce("again", F.lit(False)).alias("again")))
     cols = [(F.col("id") * 2 + F.col("fresh").cast("int")).alias("code"), "title", "bytes", "figures", "sig", "chunks"]
@@ -345,7 +372,7 @@ def _lone_pairs(reps: DataFrame, limits: DedupLimits) -> DataFrame:
     which bodies may share enough.
     """
     size = lambda c: c.bitwiseAND(F.lit(255))
-    bodies = reps.select(F.floor(F.col("code") / 2).alias("id"), (F.col("code") % 2 == 1).alias("fresh"), "bytes", (_needed(F.size("figures"), limits.figures) <= 1).alias("lone"), "chunks")
+    bodies = reps.select(F.floor(F.col("code") / 2).alias("id"), (F.col("code") % 2 == 1).alias("fresh"), "bytes", (_needed(F.col("n_figures"), limits.figures) <= 1).alias("lone"), "chunks")
     known = _only(bodies, bodies.where("lone").select(F.explode("chunks").alias("chunk")))
     total = F.aggregate("chunks", F.lit(0), lambda s, c: s + size(c))
     # The smaller body of a pair: one with few figures, or one of which enough stands in such.
@@ -360,7 +387,7 @@ def _lone_pairs(reps: DataFrame, limits: DedupLimits) -> DataFrame:
     before = F.sum(size(F.col("chunk"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size(F.col("chunk"))
     probes = cut(cost.select("*", spare.alias("spare"), before.alias("before")).where("before <= spare").select("chunk", F.col("id").alias("p"), F.col("bytes").alias("bytes_p"), F.col("lone").alias("lone_p"), F.col("fresh").alias("fresh_p")))
     release(reps.sparkSession)
-    marks = reps.select(F.floor(F.col("code") / 2).alias("id"), (F.col("code") % 2 == 1).alias("fresh"), "bytes", (_needed(F.size("figures"), limits.figures) <= 1).alias("lone"), "chunks", *_MARKS)
+    marks = reps.select(F.floor(F.col("code") / 2).alias("id"), (F.col("code") % 2 == 1).alias("fresh"), "bytes", (_needed(F.col("n_figures"), limits.figures) <= 1).alias("lone"), "chunks", *_MARKS)
     hit = _only(marks, probes.select("chunk")).select("id", "fresh", "bytes", "lone", *_MARKS, F.explode("chunks").alias("chunk"))
     probes = probes.join(bodies.select(F.col("id").alias("p"), F.col("chunks").alias("parts")), "p")
     pairs = probes.join(hit, "chunk").where((F.expr("p != id and bytes_p <= bytes and (lone or lone_p) and (fresh or fresh_p)")) & (_marked_bytes("parts") >= limits.lone * F.col("bytes_p") - F.lit(1e-6)))
@@ -378,9 +405,10 @@ def same_text(limits: DedupLimits) -> Column:
 
 
 def _stars(rows: DataFrame, key: str) -> DataFrame:
-    """Links from each row to the first row with its key."""
-    rows = rows.where(F.col(key).isNotNull()).select(key, "id")
-    lo = rows.groupBy(key).agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Links from each row to the first row with its key; with a column ``fresh``, only for keys of fresh rows."""
+    rows = rows.where(F.col(key).isNotNull())
+    fresh = F.col("fresh") if "fresh" in rows.columns else F.lit(True)
+    lo = rows.groupBy(key).agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n"), F.max(fresh).alias("touched")).where("n > 1 and touched").select(key, "a")
     return rows.select(key, F.col("id").alias("b")).join(lo, key).where("a < b").select("a", "b")
 
 
@@ -404,10 +432,11 @@ def _title_links(feats: DataFrame, label: DataFrame, known: DataFrame | None = N
         old = feats.where("body is null and not fresh and title is not null").select("id", "title_text", "halves", "fresh")
         alone = alone.union(old.join(known.select("id"), "id", "left_anti").join(known.select(F.col("first").alias("id")), "id", "left_anti"))
     # A slip changes no figure: half of a title and its figures make the key, and a bitmap of the keys asked for keeps all other titles where they are.
-    key = F.xxhash64("half", _digits(F.col("title_text"))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("chunk")
-    ends = cut(alone.select(F.col("id").alias("b"), F.col("title_text").alias("text_b"), F.col("fresh").alias("fresh_b"), "title_text", F.explode("halves").alias("half")).select("b", "text_b", "fresh_b", "half", key))
+    key = F.xxhash64("half", "digits").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("chunk")
+    ends = cut(alone.select(F.col("id").alias("b"), F.col("title_text").alias("text_b"), F.col("fresh").alias("fresh_b"), _digits(F.col("title_text")).alias("digits"), F.explode("halves").alias("half")).select("b", "text_b", "fresh_b", "half", key))
     full = feats.where("title is not null and body is not null")
-    full = full.select(F.col("id").alias("a"), "title_text", fresh.alias("fresh_a"), F.explode("halves").alias("half")).select("a", F.col("title_text").alias("text_a"), "fresh_a", "half", key)
+    full = full.select(F.col("id").alias("a"), F.col("title_text").alias("text_a"), fresh.alias("fresh_a"), "halves", _digits(F.col("title_text")).alias("digits"))
+    full = full.select("a", "text_a", "fresh_a", "digits", F.explode("halves").alias("half")).select("a", "text_a", "fresh_a", "half", key)
     full = full.crossJoin(_bitmap(feats.sparkSession, ends.select("chunk"))).where(_in_map(F.col("chunk"))).drop("map")
     spots = full.join(ends, ["chunk", "half"]).where("fresh_a or fresh_b")
     near = cut(spots.where(_one_slip("text_a", "text_b")).select("a", "b").distinct())
@@ -434,8 +463,7 @@ def resolve_articles(feats: DataFrame, limits: DedupLimits = DedupLimits(), know
     known = spark.createDataFrame([], "id bigint, first bigint") if known is None else known
     links = _body_links(feats, limits, keep)
     release(spark)
-    fresh_only = lambda key: feats.join(feats.where(F.col("fresh") & F.col(key).isNotNull()).select(key).distinct(), key, "left_semi")
-    links = links.union(_stars(fresh_only("page").select("id", "page"), "page")).union(_stars(fresh_only("body").select("id", "body"), "body"))
+    links = links.union(_stars(feats, "page")).union(_stars(feats, "body"))
     old = lambda c: known.select(F.col("id").alias(c), F.col("first").alias(f"old_{c}"))
     lift = lambda d: d.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("old_a", "a").alias("a"), F.coalesce("old_b", "b").alias("b")).where("a != b")
     links = cut(lift(links.select("a", "b")))

@@ -48,8 +48,8 @@ class Words:
     def texts(self) -> pa.Array:
         """All words as one Arrow string array, without a loop."""
         keep = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(keep, self.start, 1)
-        np.add.at(keep, self.end, -1)
+        keep[self.start] += 1  # no two words begin or end at one place
+        keep[self.end] -= 1
         inside = np.cumsum(keep[:-1]) > 0
         offsets = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int32)
         return pa.StringArray.from_buffers(len(self.start), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.data[inside])))
@@ -104,20 +104,19 @@ def split(column: pa.Array) -> Words:
         after[edge[edge > 0] - 1] = False
     start = np.flatnonzero(begins)
     end = np.flatnonzero(word & ~after) + 1
-    row = np.searchsorted(offsets, start, side="right") - 1
     first = np.searchsorted(start, offsets)
+    row = np.repeat(np.arange(n), np.diff(first))
     if not len(start):
         z = np.zeros(0, np.int64)
         return Words(data, z, z, z, z.astype(np.uint64), z, z.astype(bool), first)
     counts = word & (kind != 4) & ~(joins & (data == ord(",")))
     at = np.flatnonzero(counts)
-    which = np.searchsorted(start, at, side="right") - 1
-    head = np.searchsorted(at, start)
-    place = np.arange(len(at)) - head[which]
+    head = np.cumsum(counts)[start] - 1  # a word's first byte always counts
+    size = np.diff(np.concatenate([head, [len(at)]]))
+    place = np.arange(len(at)) - np.repeat(head, size)
     with np.errstate(over="ignore"):
         value = (data[at].astype(np.uint64) + np.uint64(1)) * _POW[np.minimum(place, 127)]
         hashed = mix(np.add.reduceat(value, head) * _P)
-    size = np.diff(np.concatenate([head, [len(at)]]))
     number = np.logical_or.reduceat(kind[at] == 2, head)
     return Words(data, start, end, row, hashed, size, number, first)
 
